@@ -66,7 +66,7 @@ class Encoder:
             cls._made[name] = cls(name)
         return cls._made[name]
 
-    def __init__(self, name: str, keep: int = 1_000_000):
+    def __init__(self, name: str, keep: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -156,7 +156,7 @@ def _pick(flat: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
     return flat[at]
 
 
-def batches(column, most: int = 24_000_000):
+def batches(column, most: int = 12_000_000):
     """(first row, slice) of about `most` bytes of text each."""
     from .shingles import text_bytes
 

@@ -117,7 +117,8 @@ class Encoder:
         full = pc.greater(pc.binary_length(distinct), 0)
         ids = np.zeros(0, np.int32)
         if some := distinct.filter(full).to_pylist():
-            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            few = [" ".join(some[i : i + 20_000]) for i in range(0, len(some), 20_000)]  # an encoding takes far more memory than its ids
+            ids = np.concatenate([np.array(self.bare.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.int32) for x in few])
             last = np.flatnonzero(self.ends[ids])
             if len(last) != len(some):
                 raise ValueError("the model has no end-of-word tokens for every byte")
@@ -167,3 +168,14 @@ def batches(column, most: int = 12_000_000):
         j = max(i + 1, int(np.searchsorted(ends, at + most, "right")))
         yield i, column.slice(i, j - i)
         i = j
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

@@ -51,13 +51,17 @@ def local_search(sizes: list[int], bins: list[list[int]], cap: int) -> list[list
     """Empties bins: the emptiest bin gives to fuller ones as long as that raises the sum of squared fills.
 
     Each exchange makes a bin at least as full as the giver fuller, so the sum rises and the search ends; it
-    stops at the lower bound ceil(total / cap), or when the emptiest bin can't be emptied.
+    stops at the lower bound ceil(total / cap), or when no bin can be emptied.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     least = -(-sum(fill) // cap)
     live = sorted((b for b in range(len(bins)) if bins[b]), key=lambda b: fill[b])
+    stuck: set[int] = set()
     while len(live) > least:
-        giver, others = live[0], [b for b in live[1:] if fill[b] < cap]
+        giver = next((b for b in live if b not in stuck and fill[b] < cap), None)
+        if giver is None:
+            break
+        others = [b for b in live if b != giver and fill[b] < cap]
         moved = True
         while bins[giver] and moved:
             moved = False
@@ -72,8 +76,10 @@ def local_search(sizes: list[int], bins: list[list[int]], cap: int) -> list[list
                     fill[taker] += gain
                     moved = True
         if bins[giver]:
-            break
-        live = sorted((b for b in live[1:]), key=lambda b: fill[b])
+            stuck.add(giver)
+        else:
+            stuck.clear()
+        live = sorted((b for b in live if bins[b]), key=lambda b: fill[b])
     return [b for b in bins if b]
 
 

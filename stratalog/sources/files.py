@@ -13,6 +13,8 @@ from ..functions.values import SPARK
 from ..plans.errors import fail
 
 KINDS = ("int", "float", "bool", "date", "timestamp")
+#: Stands for a quoted empty cell while Spark reads, which takes an unquoted one as NULL.
+QUOTED_EMPTY = "\ue000\ue001"
 SUFFIXES = {".csv": "csv", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet"}
 
 
@@ -49,7 +51,7 @@ def load(spark: SparkSession, path: str, base: str = ".", declared: tuple | None
 
 def _csv(spark, full, path, declared, at):
     """Cells are read as text and typed by the literals they spell; an empty cell is absent, a quoted empty one a string."""
-    options = {"header": True, "inferSchema": False, "mode": "FAILFAST", "multiLine": True, "escape": '"', "enforceSchema": True}
+    options = {"header": True, "inferSchema": False, "mode": "FAILFAST", "multiLine": True, "escape": '"', "enforceSchema": True, "emptyValue": QUOTED_EMPTY}
     first = spark.read.options(**{**options, "header": False}).csv(full).limit(1).collect()
     if not first:
         if declared is None:
@@ -62,6 +64,7 @@ def _csv(spark, full, path, declared, at):
     shape = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(own))])
     header = declared is None or own == names
     frame = spark.read.schema(shape).options(**{**options, "header": header}).csv(full)
+    frame = frame.select([F.when(F.col(c) == QUOTED_EMPTY, "").otherwise(F.col(c)).alias(c) for c in frame.columns])
     wanted = [k for _, k in declared] if declared else [None] * len(own)
     types = spelled_types(frame, wanted)
     return converted(frame, own, types, path, at), own, types

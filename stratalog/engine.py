@@ -12,6 +12,7 @@ from .functions.scalars import MARK
 from .functions.values import from_spark, order_key, spell
 from .operators.explain import Explainer
 from .operators.fixpoint import Model
+from .operators.reports import reports
 from .plans.analysis import Analyser, Ask, Program, live
 from .plans.errors import DataError, Diagnostic, ProgramError, fail
 from .plans.syntax import Clause, Const, Goal, Import, Parser, Query, Var, parse
@@ -168,9 +169,10 @@ class Engine:
             explainer = Explainer(model)
             for why, name, values in model.program.goals:
                 lines += explainer.why(name, values) if why else explainer.why_not(name, values)
+            found = [*model.program.warnings, *reports(model)]
         except PySparkException as e:
             raise raised(e) from e
-        return Answers(lines, list(model.program.warnings), 0 if rows else 1)
+        return Answers(lines, found, 0 if rows else 1)
 
     def why(self, fact: str) -> list[str]:
         return self._explained(f"?why {fact.strip().rstrip('.')}.")

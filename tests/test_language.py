@@ -181,3 +181,13 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "bad.dl").write_text('import "lib2.dl".')
     (tmp_path / "lib2.dl").write_text("?- p(1).")
     assert main([str(tmp_path / "bad.dl")], spark) == 2
+
+
+def test_reports(spark):
+    base = 'shop(a). shop(b). sale(a, 1, absent). sale(a, 2, 5). sale(b, 1, absent). raw("1"). raw("x"). raw(absent). '
+    found = run_text(spark, base + "t(S, T) :- shop(S), T = sum { V | sale(S, _, V) }. ?- t(S, T).")
+    assert [str(w).split(" (")[0] for w in found.warnings] == ["warning [absent-skipped]: sum skipped 2 absent values in 2 groups of t"]
+    assert not run_text(spark, base + "t(S, T) :- shop(S), T = count { V | sale(S, _, V) }. ?- t(S, T).").warnings
+    found = run_text(spark, base + "n(Y) :- raw(X), Y = X as int. ?- n(Y).")
+    assert [w.code for w in found.warnings] == ["conversion-failed-on-data"] and "made 1 value absent" in str(found.warnings[0])
+    assert not run_text(spark, base + "n(Y) :- raw(X), Y = X as int, Y is not absent. ?- n(Y).").warnings

@@ -8,7 +8,9 @@ share has at most d others above it, those in which the sets differ, and so both
 subsets with rare shingles first (by a sketch of all shingles' counts), which makes passages that many documents share, and
 empty subsets, the first to go without losing any link.
 
-Sets that share a signature are candidates; clusters of candidates are joined exactly, in blocks.
+Sets that share a signature are candidates. Within a group of few candidates, pairs whose counts in cells of the domain (about half as many as
+shingles) differ by more than linked sets may differ are out; what is left makes clusters (larger groups are clusters whole). Clusters are joined exactly, in blocks. There the shingles' hashes have 48 bits:
+two different ones of a pair of 1000-word texts agree with a chance of 4e-9.
 """
 
 from __future__ import annotations
@@ -17,14 +19,19 @@ from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import partitions, release, ship, written
 from .components import connected_components, union
 from .shingles import mix, pieces, shingles
 
 SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 14
-#: Clusters up to 2 * BLOCK documents are joined as one block, others as pairs of blocks of about BLOCK.
-BLOCK = 64
+#: Clusters up to 2 * BLOCK documents are joined as one block, others as pairs of blocks of about BLOCK sets of one size band.
+BLOCK = 128
+#: Groups of candidates up to this size are sifted by their sets' cell counts.
+SIFTED = 64
+#: Bits of the filter that keeps most texts that are in no cluster out of the shuffle.
+FILTER_BITS = 1 << 22
 
 
 class Bands:
@@ -89,6 +96,12 @@ def signatures(h: np.ndarray, n: np.ndarray, bands: Bands, rare: np.ndarray) ->
     return np.concatenate(docs), np.concatenate(found).astype(np.int64)
 
 
+def cell_counts(h: np.ndarray) -> bytes:
+    """A set's counts (at most 255 each) in a power of two of cells, 64 to 8192; by the hashes' low bits, so that cells fold into half as many."""
+    cells = 1 << min(13, max(6, (len(h) // 2).bit_length()))
+    return np.minimum(np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
 def links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i < j) of linked sets, by one exact matrix of intersection sizes."""
     n = np.array([len(s) for s in sets], np.int64)
@@ -123,12 +136,14 @@ def _sets(batch, width: int):
 
 
 def shingle_classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, key), (block, counts)): set sizes and 128-bit hashes of the sets, null for empty ones, and the sketch's counts per task."""
+    """((doc_id, n, key, cells), (block, counts)): set sizes, 128-bit hashes of the sets and their counts in cells of the domain (at most 255
+    each), null for empty ones; and the sketch's counts per task."""
 
     def rows(batches):
         import pyarrow as pa
         import xxhash
 
+        names = ["doc_id", "n", "key", "cells", "block", "counts"]
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         for batch in batches:
             for first, h, n in _sets(batch, width):
@@ -141,15 +156,16 @@ def shingle_classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
                         seen.add(key)
                         fresh[i] = True
                 sketch += np.bincount((h[np.repeat(fresh, n)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                few = [cell_counts(h[b - size : b]) if size else None for b, size in zip(stop.tolist(), n.tolist())]
                 empty = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(n)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *empty], ["doc_id", "n", "key", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(n)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(few, pa.binary()), *empty], names)
         if sketch.any():
             k = len(sketch) // SKETCH_BLOCK
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sketch.reshape(k, -1)], pa.binary())], ["doc_id", "n", "key", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sketch.reshape(k, -1)], pa.binary())], names)
 
-    both = written(docs.mapInArrow(rows, "doc_id long, n long, key binary, block int, counts binary"), "classes")
-    return both.where("block IS NULL").select("doc_id", "n", "key"), both.where("block IS NOT NULL").select("block", "counts")
+    both = written(docs.mapInArrow(rows, "doc_id long, n long, key binary, cells binary, block int, counts binary"), "classes")
+    return both.where("block IS NULL").select("doc_id", "n", "key", "cells"), both.where("block IS NOT NULL").select("block", "counts")
 
 
 def merged_sketch(counts: DataFrame) -> np.ndarray:
@@ -171,8 +187,11 @@ def merged_sketch(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def candidate_edges(docs: DataFrame, width: int, percent: int, rare: np.ndarray, parts: int) -> DataFrame:
-    """(u, v) joining documents that share a signature, as stars around the least of them. A class's signatures are made once for each task."""
+def candidates(docs: DataFrame, width: int, percent: int, rare: np.ndarray, parts: int) -> DataFrame:
+    """Groups of documents that share a signature: `members` of small ones, (u, v) of large ones, as stars around the least document.
+
+    A class's signatures are made once for each task. Groups stream in order of signature, so none has to fit in memory.
+    """
     table = docs.sparkSession.sparkContext.broadcast(rare)
 
     def emit(batches):
@@ -195,43 +214,168 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, rare: np.ndarray,
                     doc, sig = signatures(h[np.repeat(fresh, n)], n[kept], bands, table.value)
                     yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(own[kept][doc], pa.int64())], ["sig", "doc"])
 
-    def stars(batches):
+    def grouped(batches):
         import pyarrow as pa
 
-        last, hub = -1, 0
+        sig, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the last signature, which may go on
+        star, hub, lists, pairs = -1, 0, set(), []
+
+        def out():
+            rows = [np.frombuffer(x, np.int64) for x in lists]
+            edges = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            lists.clear()
+            pairs.clear()
+            offsets = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
+            members = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]))), pa.nulls(len(edges), pa.list_(pa.int64()))])
+            none = np.zeros(len(rows), bool), np.ones(len(edges), bool)
+            at = np.concatenate(none)
+            columns = [pa.array(np.concatenate([np.zeros(len(rows), np.int64), edges[:, i]]), mask=~at) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*columns, members], ["u", "v", "members"])
+
+        def close(docs):
+            if SIFTED >= len(docs) > 1:
+                lists.add(docs.tobytes())
+            elif len(docs) > 1:
+                pairs.append(np.stack([docs[1:], np.full(len(docs) - 1, docs[0])], axis=1))
+
         for batch in batches:
-            sig, doc = batch.column("sig").to_numpy(), batch.column("doc").to_numpy()
-            if not len(sig):
-                continue
-            new = np.append(sig[0] != last, sig[1:] != sig[:-1])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            hubs = np.where(at < 0, hub, doc[at])
-            last, hub = int(sig[-1]), int(hubs[-1])
-            edge = ~new & (hubs != doc)
-            pairs = np.unique(np.stack([doc[edge], hubs[edge]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            s, d = batch.column("sig").to_numpy(), batch.column("doc").to_numpy()
+            if star >= 0:
+                n = int(np.searchsorted(s, star, "right"))
+                pairs.append(np.stack([d[:n], np.full(n, hub)], axis=1))
+                s, d = s[n:], d[n:]
+                if not len(s):
+                    continue
+                star = -1
+            sig, doc = np.concatenate([sig, s]), np.concatenate([doc, d])
+            keep = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))
+            sig, doc = sig[keep], doc[keep]
+            begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            size = np.diff(np.append(begin, len(sig)))
+            for k in np.flatnonzero(size[:-1] > 1):
+                close(doc[begin[k] : begin[k] + size[k]])
+            sig, doc = sig[begin[-1] :], doc[begin[-1] :]
+            if len(doc) > SIFTED:
+                close(doc)
+                star, hub = int(sig[0]), int(doc[0])
+                sig, doc = sig[:0], doc[:0]
+            if len(lists) > 100_000 or sum(map(len, pairs)) > 500_000:
+                yield out()
+        close(doc)
+        yield out()
 
     signed = docs.where("doc_id IS NOT NULL").mapInArrow(emit, "sig long, doc long")
-    return signed.repartition(parts, "sig").sortWithinPartitions("sig", "doc").mapInArrow(stars, "u long, v long")
+    return signed.repartition(parts, "sig").sortWithinPartitions("sig", "doc").mapInArrow(grouped, "u long, v long, members array<long>")
+
+
+def sifted(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(u, v): edges that join what may be linked within each group of members, by the sets' sizes and cell counts."""
+
+    def joined(batches):
+        import pyarrow as pa
+
+        bands, held, now = Bands(percent), [], None
 
+        def flush():
+            ids, n = np.array([x for x, _, _ in held]), np.array([x for _, x, _ in held])
+            width = min(len(x) for _, _, x in held)
+            cells = np.stack([np.frombuffer(x, np.uint8).reshape(-1, width).sum(0, dtype=np.int16) for _, _, x in held])
+            a, b = [], []
+            for i in range(1, len(ids)):
+                apart = np.abs(cells[:i] - cells[i]).sum(1, dtype=np.int32)
+                fine = np.flatnonzero((apart <= bands.differ(n[:i], n[i])) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
+                a.append(ids[fine])
+                b.append(np.full(len(fine), ids[i]))
+            return union(np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+        found, size = [], 0
+        for batch in batches:
+            for group, doc, n, cells in zip(*(batch.column(c).to_pylist() for c in ("group", "doc_id", "n", "cells"))):
+                if group != now:
+                    if held:
+                        found.append(flush())
+                        size += len(found[-1][0])
+                    held, now = [], group
+                held.append((doc, n, cells))
+            if size > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], ["u", "v"])
+                found, size = [], 0
+        if held:
+            found.append(flush())
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], ["u", "v"])
+
+    lists = groups.where("members IS NOT NULL").select("members").distinct()
+    rows = lists.select(F.xxhash64("members").alias("group"), F.explode("members").alias("doc_id"))
+    full = rows.join(classes.where("n > 0").select("doc_id", "n", "cells"), "doc_id")
+    return full.repartition(partitions(groups.sparkSession), "group").sortWithinPartitions("group").mapInArrow(joined, "u long, v long")
+
+
+def cells(clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """doc_id, component and items, the blocks that its set is compared in (structs b, i, c, j).
+
+    A cluster of up to 2 * BLOCK documents is one block. Others are cut into cells by size band and, within a band, by a hash into chunks of about BLOCK;
+    a block compares two cells of one band or of neighbouring ones, since other sizes can't be linked.
+    """
+    bands = Bands(percent)
+    starts = F.array(*[F.lit(int(x)) for x in bands.low])
+    sized = clusters.join(classes.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
+    band = F.size(F.filter(starts, lambda x: x <= F.col("n")))
+    sized = sized.select("node", "component", band.alias("band"))
+    whole = sized.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    counted = sized.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("own"))
+    near = Window.partitionBy("component").orderBy("band")
+    beside = lambda f, step: F.when(f("band").over(near) == F.col("band") + step, f("own").over(near)).otherwise(0)
+    counted = counted.withColumns({"before": beside(F.lag, -1), "after": beside(F.lead, 1)}).join(whole, "component")
+    placed = sized.join(counted, ["component", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
+    item = lambda b, i, c, j: F.struct(b.cast("int").alias("b"), i.cast("int").alias("i"), c.cast("int").alias("c"), j.cast("int").alias("j"))
+    every = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda x: x < F.col(n))
+    b, k = F.col("band"), F.col("chunk")
+    items = F.concat(
+        F.transform(every("own"), lambda j: item(b, F.least(k, j), b, F.greatest(k, j))),
+        F.transform(every("before"), lambda j: item(b - 1, j, b, k)),
+        F.transform(every("after"), lambda j: item(b, k, b + 1, j)),
+    )
+    one = F.array(item(*[F.lit(0)] * 4))
+    return placed.select(F.col("node").alias("doc_id"), "component", F.when(F.col("m") <= 2 * BLOCK, one).otherwise(items).alias("items"))
+
+
+def filtered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in nodes (column node), and few others: by a bitmap of fixed size, made with built-in aggregates."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    marks = nodes.select(place("node").alias("p")).groupBy(F.call_function("bitmap_bucket_number", F.col("p")).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("p"))).alias("bits"))
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in marks.collect():  # at most FILTER_BITS / 32768 rows of 4 kB
+        own = np.frombuffer(bytes(r.bits), np.uint8)
+        whole[(r.bucket - 1) * 4096 : (r.bucket - 1) * 4096 + len(own)] = own
+    table = docs.sparkSession.sparkContext.broadcast(whole)
+
+    def rows(batches):
+        import pyarrow as pa
 
-def verified_edges(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+        for batch in batches:
+            p = batch.column("p").fill_null(1).to_numpy(zero_copy_only=False) - 1
+            yield batch.filter(pa.array((table.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
+
+    return docs.select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(rows, "doc_id long, text string")
+
+
+def verified_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): stars of truly linked documents, from clusters (node, component) of candidates."""
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.when(F.col("m") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
             for first, h, n in _sets(batch, width):
-                offsets = np.append(0, np.cumsum(8 * n)).astype(np.int32)
-                made = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(h)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(n)) for c in ("doc_id", "component", "blocks", "own")), made], ["doc_id", "component", "blocks", "own", "hashes"])
+                short = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                offsets = np.append(0, np.cumsum(6 * n)).astype(np.int32)
+                made = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(short)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(n)) for c in ("doc_id", "component", "items")), made], ["doc_id", "component", "items", "hashes"])
 
-    held = docs.join(placed, "doc_id").select("doc_id", "component", "blocks", "own", "text").mapInArrow(sets, "doc_id long, component long, blocks int, own int, hashes binary")
-    items = held.select("component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), "own", "doc_id", "hashes").select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "hashes")
+    shape = "doc_id long, component long, items array<struct<b:int,i:int,c:int,j:int>>"
+    held = filtered(docs, clusters).join(cells(clusters, classes, percent), "doc_id").select("doc_id", "component", "items", "text").mapInArrow(sets, f"{shape}, hashes binary")
+    items = held.select("component", F.explode("items").alias("item"), "doc_id", "hashes").select("component", "item.*", "doc_id", "hashes")
 
     def joined(batches):
         import pyarrow as pa
@@ -242,21 +386,22 @@ def verified_edges(docs: DataFrame, clusters: DataFrame, width: int, percent: in
             if len(held) > 1:
                 ids = np.array([x for x, _ in held])
                 i, j = links([s for _, s in held], percent)
-                a, b = ids[i], ids[j]
-                if len(a):
-                    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in union(a, b)], ["a", "b"])
+                if len(i):
+                    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in union(ids[i], ids[j])], ["a", "b"])
 
         for batch in batches:
-            for key, doc, raw in zip(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j"))), batch.column("doc_id").to_pylist(), batch.column("hashes")):
+            for key, doc, raw in zip(zip(*(batch.column(c).to_pylist() for c in keys)), batch.column("doc_id").to_pylist(), batch.column("hashes")):
                 if key != item:
                     if (out := flush()) is not None:
                         yield out
                     held, item = [], key
-                held.append((doc, np.frombuffer(raw.as_buffer(), np.uint64).copy()))
+                h = np.zeros((raw.as_buffer().size // 6, 8), np.uint8)
+                h[:, :6] = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 6)
+                held.append((doc, h.view(np.uint64).ravel()))
         if (out := flush()) is not None:
             yield out
 
-    keys = ["component", "i", "j"]
+    keys = ["component", "b", "i", "c", "j"]
     return items.repartition(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(joined, "a long, b long")
 
 
@@ -274,10 +419,12 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     classes, counts = shingle_classes(docs, width)
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(partitions(spark), ceil(0.65 * total / 2_000_000))
-    edges = written(candidate_edges(docs, width, percent, rarity(merged_sketch(counts)), parts), "candidates")
+    found = written(candidates(docs, width, percent, rarity(merged_sketch(counts)), parts), "candidates")
+    edges = found.where("members IS NULL").select("u", "v").unionByName(sifted(found, classes, percent))
     release(spark)
     clusters = written(connected_components(edges), "clusters")
-    found = written(verified_edges(docs, clusters, width, percent), "links")
+    release(spark)
+    found = written(verified_edges(docs, clusters, classes, width, percent), "links")
     release(spark)
     joined = connected_components(found)
     # classes of equal sets: each is one node, its least document stands for it

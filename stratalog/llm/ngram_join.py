@@ -222,7 +222,8 @@ def candidates(docs: DataFrame, width: int, percent: int, rare: np.ndarray, part
 
         def out():
             rows = [np.frombuffer(x, np.int64) for x in lists]
-            edges = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            # large groups matter as clusters alone, so one edge a document is enough
+            edges = np.stack(union(*np.concatenate(pairs).T), axis=1) if pairs else np.zeros((0, 2), np.int64)
             lists.clear()
             pairs.clear()
             offsets = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)

@@ -6,6 +6,7 @@ import gc
 import os
 import sys
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -33,23 +34,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stratalog/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read back: a cut in the lineage that a lost executor doesn't undo."""
+    """The rows, written as Parquet in the shared folder and read back: a cut in the lineage that a lost executor doesn't undo.
+
+    What the plan shuffled is deleted as soon as the rows are written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    del df
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works beside us
+
+
+#: Rows that go to a Python worker at once: whole texts are large, and both sides hold a batch several times.
+BATCH_ROWS = "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on Python workers where the driver's PYTHONPATH doesn't already."""
+    """Makes this package importable on Python workers where the driver's PYTHONPATH doesn't already, and keeps their batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(ROOT) in paths or os.path.realpath(os.getcwd()) == str(ROOT) or getattr(spark.sparkContext, "_stratalog", False):
         return

@@ -94,10 +94,10 @@ def token_pieces(docs: DataFrame, cap: int, vocabulary: str | None = None, end:
     def cut(rows):
         import pyarrow as pa
 
-        from stratalog.llm.tokens import Encoder, batches
+        from stratalog.llm.tokens import Encoder, batches, merged
 
         encoder = Encoder.of(vocabulary)
-        for batch in rows:
+        for batch in merged(rows):
             for first, texts in batches(batch.column("text")):
                 ids, n = encoder.encode(texts, end)
                 per = -(-n // cap)

@@ -66,7 +66,7 @@ class Encoder:
             cls._made[name] = cls(name)
         return cls._made[name]
 
-    def __init__(self, name: str, keep: int = 600_000):
+    def __init__(self, name: str, keep: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -157,7 +157,7 @@ def _pick(flat: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
     return flat[at]
 
 
-def batches(column, most: int = 12_000_000):
+def batches(column, most: int = 8_000_000):
     """(first row, slice) of about `most` bytes of text each."""
     from .shingles import text_bytes
 
@@ -171,6 +171,22 @@ def batches(column, most: int = 12_000_000):
         trim()
 
 
+def merged(rows, most: int = 8_000_000):
+    """Record batches put together to about `most` bytes, so that a word is looked up once for many texts."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in rows:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def trim() -> None:
     """Gives freed memory back to the system, where the C library can."""
     import ctypes

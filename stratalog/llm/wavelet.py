@@ -153,7 +153,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        from stratalog.llm.tokens import Encoder, batches
+        from stratalog.llm.tokens import Encoder, batches, merged
 
         store, root = fs.FileSystem.from_uri(path)
         encoder, part, seq = Encoder.of(vocabulary), TaskContext.get().partitionId(), 0
@@ -172,7 +172,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end:
             held, tokens, seq = [], 0, seq + 1
             return row
 
-        for batch in rows:
+        for batch in merged(rows):
             for first, texts in batches(batch.column("text")):
                 ids, n = encoder.encode(texts, end)
                 own = batch.column("doc_id").slice(first, len(texts))

@@ -37,7 +37,8 @@ def source_rates(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most:
         listed.withColumn("before", F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("rest", F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("water", (F.sum("source_size").over(everything) * F.lit(float(share)) - F.col("before")) / F.col("rest"))
-        .withColumn("found", F.min(F.when(F.col("water") <= F.col("level"), F.struct("level", "water"))).over(everything))
+        .withColumn("place", F.row_number().over(by))  # of the same level only the first has a water that no tied source was taken from
+        .withColumn("found", F.min(F.when(F.col("water") <= F.col("level"), F.struct("place", "water"))).over(everything))
     )
     listed = listed.withColumn("target", F.when(F.col("found").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("found.water"))))
     return listed.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))

@@ -48,6 +48,7 @@ ITEMS: dict[str, Item] = {
     "wildcard_distinct": Item("lineitem", "", "lineitem(l_returnflag: R, l_linestatus: S, l_tax: _)", "SELECT DISTINCT l_returnflag AS r, l_linestatus AS s FROM lineitem"),
     "filter_cmp": Item("orders", "", 'orders(o_orderkey: K, o_orderstatus: S, o_totalprice: T, o_orderpriority: P), T >= 100000.0, S != "O", P < "3"', "SELECT DISTINCT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS t, o_orderpriority AS p FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus <> 'O' AND o_orderpriority < '3'"),
     "head_expression": Item("lineitem", 'priced(K, L, Q * 2.0 + 1.0, "double") :- lineitem(l_orderkey: K, l_linenumber: L, l_quantity: Q).', "priced(K, L, V, W), K <= 1000", "SELECT DISTINCT l_orderkey AS k, l_linenumber::BIGINT AS l, l_quantity * 2 + 1 AS v, 'double' AS w FROM lineitem WHERE l_orderkey <= 1000"),
+    "head_expression_whole": Item("lineitem", 'priced(K, L, Q * 2.0 + 1.0, "double") :- lineitem(l_orderkey: K, l_linenumber: L, l_quantity: Q).', "priced(K, L, V, W)", "SELECT DISTINCT l_orderkey AS k, l_linenumber::BIGINT AS l, l_quantity * 2 + 1 AS v, 'double' AS w FROM lineitem"),
     "assignment_order": Item("part", "", "D = C - A, C = A * 3, part(p_partkey: A, p_size: S), D > S", "SELECT DISTINCT a * 3 - a AS d, a * 3 AS c, a, s FROM (SELECT p_partkey AS a, p_size::BIGINT AS s FROM part) WHERE a * 2 > s"),
     "presence_absent": Item("orders", "rank(K, V) :- orders(o_orderkey: K, o_orderpriority: P), V = P as int. known(K) :- rank(K, V), V is not absent.", "orders(o_orderkey: K), not known(K)", "SELECT DISTINCT o_orderkey AS k FROM orders WHERE TRY_CAST(o_orderpriority AS BIGINT) IS NULL"),
     # joins
@@ -62,18 +63,25 @@ ITEMS: dict[str, Item] = {
     "division_all": Item("lineitem supplier", "sells(P, N) :- lineitem(l_partkey: P, l_suppkey: S), supplier(s_suppkey: S, s_nationkey: N). wanted(N) :- supplier(s_nationkey: N), N < 5. lacks(P) :- sells(P, _), wanted(N), not sells(P, N). all(P) :- sells(P, _), not lacks(P).", "all(P)", "WITH s AS (SELECT DISTINCT l_partkey AS p, s_nationkey AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT DISTINCT p FROM s WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_nationkey < 5) w WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.p = s.p AND t.n = w.n))"),
     # sets
     "union_disjunction": Item("orders", 'hot(K) :- orders(o_orderkey: K, o_orderstatus: "F"), K < 2000 ; orders(o_orderkey: K, o_totalprice: T), T > 300000.0.', "hot(K)", "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 2000 UNION SELECT o_orderkey FROM orders WHERE o_totalprice > 300000"),
+    "union_disjunction_whole": Item("orders", 'hot(K) :- orders(o_orderkey: K, o_orderstatus: "F") ; orders(o_orderkey: K, o_totalprice: T), T > 300000.0.', "hot(K)", "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_orderkey FROM orders WHERE o_totalprice > 300000"),
     "intersection": Item("customer supplier", "", "customer(c_nationkey: N), supplier(s_nationkey: N)", "SELECT c_nationkey::BIGINT AS n FROM customer INTERSECT SELECT s_nationkey::BIGINT FROM supplier"),
     "difference": Item("nation supplier", "", "nation(n_nationkey: N), not supplier(s_nationkey: N)", "SELECT n_nationkey::BIGINT AS n FROM nation EXCEPT SELECT s_nationkey::BIGINT FROM supplier"),
     # scalars
     "int_arithmetic": Item("part", "", "part(p_partkey: K, p_size: S), A = K * 3 - S, B = (S - 25) / 4, C = K + S", "SELECT DISTINCT p_partkey AS k, p_size::BIGINT AS s, p_partkey * 3 - p_size AS a, ((p_size - 25) // 4)::BIGINT AS b, p_partkey + p_size AS c FROM part"),
     "float_arithmetic": Item("part", "", "part(p_partkey: K, p_retailprice: P), A = P * 0.5, B = P / 4.0, C = P - 1.0, D = P / 0.0", "SELECT DISTINCT p_partkey AS k, p_retailprice AS p, p_retailprice * 0.5 AS a, p_retailprice / 4.0 AS b, p_retailprice - 1.0 AS c, 'inf'::DOUBLE AS d FROM part"),
     "cast_number": Item("lineitem", "", "lineitem(l_orderkey: K, l_linenumber: L, l_quantity: Q), K < 500, I = Q as int, F = I as float, H = F / 2.0", "SELECT DISTINCT l_orderkey AS k, l_linenumber::BIGINT AS l, l_quantity AS q, l_quantity::BIGINT AS i, l_quantity AS f, l_quantity / 2 AS h FROM lineitem WHERE l_orderkey < 500"),
+    "cast_number_whole": Item("lineitem", "", "lineitem(l_orderkey: K, l_linenumber: L, l_quantity: Q), I = Q as int, F = I as float, H = F / 2.0", "SELECT DISTINCT l_orderkey AS k, l_linenumber::BIGINT AS l, l_quantity AS q, l_quantity::BIGINT AS i, l_quantity AS f, l_quantity / 2 AS h FROM lineitem"),
     "cast_text": Item("orders", "", 'orders(o_orderkey: K, o_orderdate: D, o_orderstatus: S), K < 200, T = D as string, U = T as timestamp, I = K as string, J = I as int, B = "true" as bool, N = S as float', "SELECT DISTINCT o_orderkey AS k, o_orderdate AS d, o_orderstatus AS s, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS t, o_orderdate AS u, o_orderkey::VARCHAR AS i, o_orderkey AS j, true AS b, NULL::DOUBLE AS n FROM orders WHERE o_orderkey < 200"),
+    "cast_text_whole": Item("orders", "", 'orders(o_orderkey: K, o_orderdate: D, o_orderstatus: S), T = D as string, U = T as timestamp, I = K as string, J = I as int, B = "true" as bool, N = S as float', "SELECT DISTINCT o_orderkey AS k, o_orderdate AS d, o_orderstatus AS s, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS t, o_orderdate AS u, o_orderkey::VARCHAR AS i, o_orderkey AS j, true AS b, NULL::DOUBLE AS n FROM orders"),
     "cast_float_text": Item("part", "", "part(p_partkey: K, p_size: S), F = (S as float) / 8.0, T = F as string", "SELECT DISTINCT p_partkey AS k, p_size::BIGINT AS s, p_size / 8.0::DOUBLE AS f, (p_size / 8.0::DOUBLE)::VARCHAR AS t FROM part"),
     "point_difference": Item("orders lineitem", "", "orders(o_orderkey: K, o_orderdate: O), lineitem(l_orderkey: K, l_linenumber: L, l_shipdate: S), K < 500, D = S - O, N = D / @1d", "SELECT DISTINCT o_orderkey AS k, o_orderdate AS o, l_linenumber::BIGINT AS l, l_shipdate AS s, (epoch_us(l_shipdate) - epoch_us(o_orderdate))::BIGINT AS d, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0::DOUBLE AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500"),
+    "point_difference_whole": Item("orders lineitem", "", "orders(o_orderkey: K, o_orderdate: O), lineitem(l_orderkey: K, l_linenumber: L, l_shipdate: S), D = S - O, N = D / @1d", "SELECT DISTINCT o_orderkey AS k, o_orderdate AS o, l_linenumber::BIGINT AS l, l_shipdate AS s, (epoch_us(l_shipdate) - epoch_us(o_orderdate))::BIGINT AS d, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0::DOUBLE AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey"),
     "point_shift": Item("events", "", "events(event_id: E, ts: T), E < 200, A = T + @1d12h, B = T - @90m, D = (T as string)", "SELECT DISTINCT event_id AS e, ts AS t, ts + INTERVAL 36 HOUR AS a, ts - INTERVAL 90 MINUTE AS b, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE rtrim(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '0') END AS d FROM events WHERE event_id < 200"),
+    "point_shift_whole": Item("events", "", "events(event_id: E, ts: T), A = T + @1d12h, B = T - @90m, D = (T as string)", "SELECT DISTINCT event_id AS e, ts AS t, ts + INTERVAL 36 HOUR AS a, ts - INTERVAL 90 MINUTE AS b, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE rtrim(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '0') END AS d FROM events"),
     "duration_algebra": Item("events", "", "events(event_id: E), E < 100, D = @1h * E, H = D / 2, R = D / @30m, S = D - @10m, T = D as string", "SELECT DISTINCT event_id AS e, event_id * 3600000000 AS d, event_id * 1800000000 AS h, event_id * 2.0::DOUBLE AS r, event_id * 3600000000 - 600000000 AS s, CASE WHEN event_id = 0 THEN '0s' ELSE (CASE WHEN event_id >= 24 THEN (event_id // 24)::VARCHAR || 'd' ELSE '' END) || (CASE WHEN event_id % 24 > 0 THEN (event_id % 24)::VARCHAR || 'h' ELSE '' END) END AS t FROM events WHERE event_id < 100"),
+    "duration_algebra_whole": Item("events", "", "events(event_id: E), D = @1h * E, H = D / 2, R = D / @30m, S = D - @10m, T = D as string", "SELECT DISTINCT event_id AS e, event_id * 3600000000 AS d, event_id * 1800000000 AS h, event_id * 2.0::DOUBLE AS r, event_id * 3600000000 - 600000000 AS s, CASE WHEN event_id = 0 THEN '0s' ELSE (CASE WHEN event_id >= 24 THEN (event_id // 24)::VARCHAR || 'd' ELSE '' END) || (CASE WHEN event_id % 24 > 0 THEN (event_id % 24)::VARCHAR || 'h' ELSE '' END) END AS t FROM events"),
     "components": Item("orders", 'import "std/time".', "orders(o_orderkey: K, o_orderdate: D), K < 2000, year(D, Y), month(D, M), day(D, A), hour(D, H)", "SELECT DISTINCT o_orderkey AS k, o_orderdate AS d, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS a, hour(o_orderdate) AS h FROM orders WHERE o_orderkey < 2000"),
+    "components_whole": Item("orders", 'import "std/time".', "orders(o_orderkey: K, o_orderdate: D), year(D, Y), month(D, M), day(D, A), hour(D, H)", "SELECT DISTINCT o_orderkey AS k, o_orderdate AS d, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS a, hour(o_orderdate) AS h FROM orders"),
     "component_filter": Item("orders", 'import "std/time".', "orders(o_orderkey: K, o_orderdate: D), month(D, 6)", "SELECT DISTINCT o_orderkey AS k, o_orderdate AS d FROM orders WHERE month(o_orderdate) = 6"),
     "truncation": Item("events", 'import "std/time".', "events(event_id: E, ts: T), truncate(T, year, Y), truncate(T, quarter, Q), truncate(T, month, M), truncate(T, week, W), truncate(T, day, D), truncate(T, hour, H), truncate(T, minute, I)", "SELECT DISTINCT event_id AS e, ts AS t, date_trunc('year', ts)::TIMESTAMP AS y, date_trunc('quarter', ts)::TIMESTAMP AS q, date_trunc('month', ts)::TIMESTAMP AS m, date_trunc('week', ts)::TIMESTAMP AS w, date_trunc('day', ts)::TIMESTAMP AS d, date_trunc('hour', ts)::TIMESTAMP AS h, date_trunc('minute', ts)::TIMESTAMP AS i FROM events"),
     # aggregates

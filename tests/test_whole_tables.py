@@ -26,3 +26,35 @@ def test_union_past_any_bound(spark):
     item = catalogue.ITEMS["union_disjunction_whole"]
     found = Engine(spark).register("orders", spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double")).load(item.program).query(item.question)
     assert sorted(r[0] for r in found.collect()) == [1, 5000, 6000, 10**9]
+
+
+def test_dominators_of_every_function(spark):
+    """By taking each node out and walking from the entry, in functions of 40 parts and a part of one."""
+    item = catalogue.ITEMS["dominators_whole"]
+    parts = [*range(40), *range(4000, 4023)]
+    found = Engine(spark).register("part", spark.createDataFrame([(p,) for p in parts], "p_partkey long")).load(item.program).query(item.question)
+    want = set()
+    for f, nodes in ((0, range(40)), (100, range(23))):
+        steps = {a: [b for b in {a + 1 if a % 10 else a * 2, a * 2} if b in nodes] for a in nodes}
+
+        def walk(without):
+            seen, todo = set(), [1] if without != 1 else []
+            while todo:
+                if (n := todo.pop()) not in seen and n != without:
+                    seen.add(n)
+                    todo += steps[n]
+            return seen
+
+        want |= {(f, a, b) for a in nodes for b in walk(None) - walk(a)}
+    assert {(r["F"], r["A"], r["B"]) for r in found.collect()} == want
+
+
+def test_taint_and_grants_past_any_bound(spark):
+    parts = [(p, 41 if p == 3000 else 1) for p in (93, 187, 375, 750, 1500, 3000, 6000, 6001)]
+    frame = spark.createDataFrame(parts, "p_partkey long, p_size long")
+    item = catalogue.ITEMS["taint_whole"]
+    found = Engine(spark).register("part", frame).load(item.program).query(item.question)
+    assert sorted(r[0] for r in found.collect()) == [6000, 6001]  # 3000 is clean and lets nothing through
+    item = catalogue.ITEMS["access_closure_whole"]
+    engine = Engine(spark).register("part", frame).register("nation", spark.createDataFrame([(0,)], "n_nationkey long"))
+    assert sorted(tuple(r) for r in engine.load(item.program).query(item.question).collect()) == [(3000, 1), (6000, 41), (6001, 41)]

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import sys
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -53,21 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)  # the cleaner works beside us
-
-
-#: Rows that go to a Python worker at once: whole texts are large, and both sides hold a batch several times.
-BATCH_ROWS = "1000"
+#: Rows and bytes that go to a Python worker at once: whole texts are large, and both sides hold a batch several times.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "20000", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
 
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on Python workers where the driver's PYTHONPATH doesn't already, and keeps their batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(ROOT) in paths or os.path.realpath(os.getcwd()) == str(ROOT) or getattr(spark.sparkContext, "_stratalog", False):
         return

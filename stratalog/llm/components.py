@@ -50,24 +50,27 @@ def _stars(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(rows, "u long, v long")
 
 
+def _flat(stars: DataFrame) -> bool:
+    """Whether every node has one edge up at most, and none whose node has edges down."""
+    ends = stars.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(stars.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (least node of it) for each node of the edges (a, b: longs; no nulls); loops alone give nothing.
 
-    Alternating large and small stars: every round points a node's larger neighbours, then its smaller ones, to the least
-    neighbour, until each node points to its component's least node. Rounds are written, so lineage doesn't grow.
+    What meets in a partition is joined there; then alternating large and small stars: every round points a node's larger neighbours, then
+    its smaller ones, to the least neighbour, until each node points to its component's least node. Rounds are written, so lineage doesn't
+    grow, and so that a hub's edges come to the join straight from their shuffle, which AQE can split.
     """
     ship(edges.sparkSession)
     own = edges.select(F.greatest(*edges.columns[:2]).alias("u"), F.least(*edges.columns[:2]).alias("v")).where("u <> v")
-    stars, before = written(_stars(own).distinct(), "edges"), None
-    while True:
+    stars = written(_stars(_stars(own).distinct()), "edges")
+    while not _flat(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "least")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        stars = written(small.distinct(), "edges")
-        now = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
+        stars = written(_stars(small.distinct()), "edges")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,16 +1,19 @@
 """Self-join of documents on the Jaccard similarity of their word shingles, by PartEnum signatures.
 
 Sizes fall into bands so wide that linked sets are in one band or in neighbouring ones. A band's label covers pairs within the band
-and with the next one; the sets differ in at most k elements there. The feature domain (shingle hashes) is
-cut into n1 = 1.5 (k + 1) partitions, so linked sets agree in at least n1 - k of them. Of a set's n1 subsets the d + 1 highest in one
-common order are enumerated as signatures, d being what a set of its size can differ from a partner in: the highest subset that two linked sets
-share has at most d others above it, those in which the sets differ, and so both enumerate it. The order puts
-subsets with rare shingles first (by a sketch of all shingles' counts), which makes passages that many documents share, and
-empty subsets, the first to go without losing any link.
-
-Sets that share a signature are candidates. Within a group of few candidates, pairs whose counts in cells of the domain (about half as many as
-shingles) differ by more than linked sets may differ are out; what is left makes clusters (larger groups are clusters whole). Clusters are joined exactly, in blocks. There the shingles' hashes have 48 bits:
-two different ones of a pair of 1000-word texts agree with a chance of 4e-9.
+and with the next one; the sets differ in at most k elements there. The feature domain (shingle hashes) is cut on two levels: into
+n1 = 0.6 (k + 1) partitions, more than k / 2, and each of these into three. Of the three, every subset of two is enumerated: a
+signature is what a set has in such a subset. Linked sets differ in at most one element in some partition, and so agree in a subset of it.
+
+One difference spoils two subsets of a partition, two spoil all three. So of the subsets that two linked sets agree in, the first in
+any common order has few others before it, and each set needs to emit no more than that bound and one. The order puts subsets with
+rare shingles first (by a sketch of all shingles' counts): passages that many documents share and empty subsets go first, and no link is lost.
+
+Equal sets are one node, named by a 64-bit hash. Nodes with a common signature are a list of candidates. Each node is compared with the least
+node of its lists first, exactly; components of those links settle most lists. In a list that spans several components,
+pairs across them go through exact bounds from sizes and counts in cells of the domain (about half as many as shingles), and what may be linked is
+compared: the closest pair of any two components first, then, where they are still apart, all. No pair within a component and
+none without a common signature is looked at on purpose. Sets are compared as 48-bit hashes: two different shingles of a pair of 1000-word texts agree with a chance of 4e-9.
 """
 
 from __future__ import annotations
@@ -19,19 +22,20 @@ from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from .common import partitions, release, ship, written
+from .common import partitions, ship, written
 from .components import connected_components, union
 from .shingles import mix, pieces, shingles
 
 SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 14
-#: Clusters up to 2 * BLOCK documents are joined as one block, others as pairs of blocks of about BLOCK sets of one size band.
-BLOCK = 128
-#: Groups of candidates up to this size are sifted by their sets' cell counts.
-SIFTED = 64
-#: Bits of the filter that keeps most texts that are in no cluster out of the shuffle.
+#: Nodes that are compared in one block, and about how many shingles they may have together.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
+#: Longer lists of candidates are kept in parts, and compared part by part.
+LIST = 2048
+#: Bits of the filter that keeps most texts that are no candidates out of the shuffle.
 FILTER_BITS = 1 << 22
+#: Classes of equal sets that a task remembers at once.
+SEEN = 100_000
 
 
 class Bands:
@@ -53,8 +57,15 @@ class Bands:
         return (a + b) * (100 - self.p) // (100 + self.p)
 
     def parts(self, label) -> np.ndarray:
+        """First-level partitions of a label: more than half of its most differences."""
         r = self.high[label]
-        return np.maximum(2, -(-3 * (self.differ(r, r * 100 // self.p) + 1) // 2))
+        k = self.differ(r, r * 100 // self.p)
+        return np.maximum((k + 2) // 2, -(-3 * (k + 1) // 5))
+
+
+def spoilt(d: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The most subsets (three in each of n1 partitions) that d < 2 * n1 differences can touch."""
+    return np.where(d <= n1, 2 * d, n1 + d)
 
 
 def rarity(sketch: np.ndarray) -> np.ndarray:
@@ -67,30 +78,38 @@ def signatures(h: np.ndarray, n: np.ndarray, bands: Bands, rare: np.ndarray) ->
     """(set number, signature) for sets of n[i] distinct hashes, one set after another; at most 4096 sets."""
     cell = rare[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     doc = np.repeat(np.arange(len(n)), n)
-    band = bands.of(n)
+    size, band = n.astype(np.int64), bands.of(n)
     docs, found = [], []
     for below in (0, 1):
         use = (n > 0) & (band >= below)
         label = np.where(use, band - below, 0)
-        size = n.astype(np.int64)
-        d = bands.differ(size, size * 100 // bands.p if below == 0 else bands.high[label])
+        if below:  # a set may be too large for any partner in the band below its own
+            use &= 100 * bands.high[label] >= bands.p * size
+        d = bands.differ(size, bands.high[label] if below else size * 100 // bands.p)
         n1 = np.where(use, bands.parts(label), 0)
-        keep = np.minimum(d + 1, n1)
-        begin = np.cumsum(n1) - n1
+        keep = np.where(use, np.minimum(spoilt(d, n1) + 1, 3 * n1), 0)
+        begin, total = np.cumsum(n1) - n1, int(n1.sum())
         mine = use[doc]
         own = doc[mine]
         m = mix(h[mine] ^ ((label[own].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
         at = begin[own] + (((m >> np.uint64(32)) * n1[own].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        total = int(n1.sum())
-        sums, cls = np.zeros(total, np.uint64), np.zeros(total, np.uint8)
-        np.add.at(sums, at, mix(m))
-        np.maximum.at(cls, at, cell[mine])
+        third = 3 * at + (((m & np.uint64(0xFFFFFF)) * np.uint64(3)) >> np.uint64(24)).astype(np.int64)
+        sums, cls = np.zeros(3 * total, np.uint64), np.zeros(3 * total, np.uint8)
+        np.add.at(sums, third, mix(m))
+        np.maximum.at(cls, third, cell[mine])
+        del m, at, third, own, mine
+        sums, cls = sums.reshape(-1, 3), cls.reshape(-1, 3)
         of = np.repeat(np.arange(len(n)), n1)
-        part = np.arange(total) - begin[of]
-        sig = mix(sums + part.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + label[of].astype(np.uint64)) >> np.uint64(16)
-        key = of.astype(np.uint64) << np.uint64(52) | cls.astype(np.uint64) << np.uint64(48) | sig
+        seed = (np.arange(total) - begin[of]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + label[of].astype(np.uint64)
+        key = np.empty((total, 3), np.uint64)
+        for left in range(3):  # the subset without third number `left`
+            a, b = (left + 1) % 3, (left + 2) % 3
+            sig = mix(sums[:, a] + sums[:, b] + seed * np.uint64(2 * left + 3)) >> np.uint64(16)
+            key[:, left] = of.astype(np.uint64) << np.uint64(52) | np.maximum(cls[:, a], cls[:, b]).astype(np.uint64) << np.uint64(48) | sig
+        key = key.ravel()
         key.sort()
-        last = part >= (n1 - keep)[of]
+        of = np.repeat(of, 3)
+        last = np.arange(3 * total) - 3 * begin[of] >= (3 * n1 - keep)[of]
         docs.append(of[last])
         found.append(key[last] & np.uint64((1 << 52) - 1))
     return np.concatenate(docs), np.concatenate(found).astype(np.int64)
@@ -135,37 +154,55 @@ def _sets(batch, width: int):
             yield start + first, *shingles(data, ends, width)
 
 
+def _node(h: np.ndarray) -> int:
+    """The name of a set: a signed 64-bit hash of its sorted hashes."""
+    import xxhash
+
+    x = xxhash.xxh3_64_intdigest(h)
+    return x - (1 << 64) if x >> 63 else x
+
+
+class Fresh:
+    """Which sets a task has not met yet; it forgets what it knows when that is much, and then names a set again."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def of(self, h: np.ndarray, n: np.ndarray) -> tuple[list[int | None], np.ndarray]:
+        """(names of the sets, null for empty ones; whether each is new)."""
+        names, new, stop = [], np.zeros(len(n), bool), np.cumsum(n)
+        for i, (b, size) in enumerate(zip(stop.tolist(), n.tolist())):
+            name = _node(h[b - size : b]) if size else None
+            names.append(name)
+            if size and name not in self.seen:
+                self.seen.add(name)
+                new[i] = True
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        return names, new
+
+
 def shingle_classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, key, cells), (block, counts)): set sizes, 128-bit hashes of the sets and their counts in cells of the domain (at most 255
-    each), null for empty ones; and the sketch's counts per task."""
+    """((doc_id, n, node), (block, counts)): set sizes and the sets' names, null for empty ones; and the sketch's counts per task."""
 
     def rows(batches):
         import pyarrow as pa
-        import xxhash
 
-        names = ["doc_id", "n", "key", "cells", "block", "counts"]
-        sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
+        names = ["doc_id", "n", "node", "block", "counts"]
+        sketch, fresh = np.zeros(1 << SKETCH_BITS, np.int64), Fresh()
         for batch in batches:
             for first, h, n in _sets(batch, width):
-                stop, keys, fresh = np.cumsum(n), [], np.zeros(len(n), bool)
-                raw = memoryview(h).cast("B") if len(h) else b""
-                for i, (b, size) in enumerate(zip(stop.tolist(), n.tolist())):
-                    key = xxhash.xxh3_128_digest(raw[8 * (b - size) : 8 * b]) if size else None
-                    keys.append(key)
-                    if size and key not in seen:
-                        seen.add(key)
-                        fresh[i] = True
-                sketch += np.bincount((h[np.repeat(fresh, n)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                few = [cell_counts(h[b - size : b]) if size else None for b, size in zip(stop.tolist(), n.tolist())]
+                nodes, new = fresh.of(h, n)
+                sketch += np.bincount((h[np.repeat(new, n)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 empty = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(n)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(few, pa.binary()), *empty], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(n)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *empty], names)
         if sketch.any():
             k = len(sketch) // SKETCH_BLOCK
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sketch.reshape(k, -1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(k), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sketch.reshape(k, -1)], pa.binary())], names)
 
-    both = written(docs.mapInArrow(rows, "doc_id long, n long, key binary, cells binary, block int, counts binary"), "classes")
-    return both.where("block IS NULL").select("doc_id", "n", "key", "cells"), both.where("block IS NOT NULL").select("block", "counts")
+    both = written(docs.mapInArrow(rows, "doc_id long, n long, node long, block int, counts binary"), "classes")
+    return both.where("block IS NULL").select("doc_id", "n", "node"), both.where("block IS NOT NULL").select("block", "counts")
 
 
 def merged_sketch(counts: DataFrame) -> np.ndarray:
@@ -188,163 +225,82 @@ def merged_sketch(counts: DataFrame) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, width: int, percent: int, rare: np.ndarray, parts: int) -> DataFrame:
-    """Groups of documents that share a signature: `members` of small ones, (u, v) of large ones, as stars around the least document.
+    """(sig, least, members): nodes that share a signature, in order, and the least of them; sig is null but for the parts of lists over LIST.
 
-    A class's signatures are made once for each task. Groups stream in order of signature, so none has to fit in memory.
+    Lists stream in order of signature, so none has to fit in memory. Equal lists of a task are one row.
     """
     table = docs.sparkSession.sparkContext.broadcast(rare)
 
     def emit(batches):
         import pyarrow as pa
-        import xxhash
 
-        bands, seen = Bands(percent), set()
+        bands, fresh = Bands(percent), Fresh()
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, h, n in _sets(batch, width):
-                own = ids[first : first + len(n)]
-                stop, fresh = np.cumsum(n), np.zeros(len(n), bool)
-                raw = memoryview(h).cast("B") if len(h) else b""
-                for i, (b, size) in enumerate(zip(stop.tolist(), n.tolist())):
-                    if size and (key := xxhash.xxh3_128_digest(raw[8 * (b - size) : 8 * b])) not in seen:
-                        seen.add(key)
-                        fresh[i] = True
-                kept = np.flatnonzero(fresh)
-                if len(kept):
-                    doc, sig = signatures(h[np.repeat(fresh, n)], n[kept], bands, table.value)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(own[kept][doc], pa.int64())], ["sig", "doc"])
+            for _, h, n in _sets(batch, width):
+                nodes, new = fresh.of(h, n)
+                if new.any():
+                    own, sig = signatures(h[np.repeat(new, n)], n[new], bands, table.value)
+                    named = np.array([x for x, y in zip(nodes, new.tolist()) if y], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(named[own])], ["sig", "node"])
 
     def grouped(batches):
         import pyarrow as pa
 
-        sig, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the last signature, which may go on
-        star, hub, lists, pairs = -1, 0, set(), []
+        sig, node = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the last signature, which may go on
+        rows, known, size = [], set(), 0
+        long, least = None, 0  # the signature of which a part is out, and the least node in it
 
         def out():
-            rows = [np.frombuffer(x, np.int64) for x in lists]
-            # large groups matter as clusters alone, so one edge a document is enough
-            edges = np.stack(union(*np.concatenate(pairs).T), axis=1) if pairs else np.zeros((0, 2), np.int64)
-            lists.clear()
-            pairs.clear()
-            offsets = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
-            members = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]))), pa.nulls(len(edges), pa.list_(pa.int64()))])
-            none = np.zeros(len(rows), bool), np.ones(len(edges), bool)
-            at = np.concatenate(none)
-            columns = [pa.array(np.concatenate([np.zeros(len(rows), np.int64), edges[:, i]]), mask=~at) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([*columns, members], ["u", "v", "members"])
-
-        def close(docs):
-            if SIFTED >= len(docs) > 1:
-                lists.add(docs.tobytes())
-            elif len(docs) > 1:
-                pairs.append(np.stack([docs[1:], np.full(len(docs) - 1, docs[0])], axis=1))
+            nonlocal rows, size
+            made = [pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)]
+            offsets = np.append(0, np.cumsum([len(x[2]) for x in rows])).astype(np.int32)
+            members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*[x[2] for x in rows], np.zeros(0, np.int64)])))
+            rows, size = [], 0
+            known.clear()
+            return pa.RecordBatch.from_arrays([*made, members], ["sig", "least", "members"])
+
+        def close(own, own_sig):
+            nonlocal size
+            if own_sig == long:
+                rows.append((long, least, own))
+            elif len(own) > 1 and (raw := own.tobytes()) not in known:
+                known.add(raw)
+                rows.append((None, int(own[0]), own))
+            else:
+                return
+            size += len(own)
 
         for batch in batches:
-            s, d = batch.column("sig").to_numpy(), batch.column("doc").to_numpy()
-            if star >= 0:
-                n = int(np.searchsorted(s, star, "right"))
-                pairs.append(np.stack([d[:n], np.full(n, hub)], axis=1))
-                s, d = s[n:], d[n:]
-                if not len(s):
-                    continue
-                star = -1
-            sig, doc = np.concatenate([sig, s]), np.concatenate([doc, d])
-            keep = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))
-            sig, doc = sig[keep], doc[keep]
+            sig = np.concatenate([sig, batch.column("sig").to_numpy()])
+            node = np.concatenate([node, batch.column("node").to_numpy()])
+            keep = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+            sig, node = sig[keep], node[keep]
             begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            size = np.diff(np.append(begin, len(sig)))
-            for k in np.flatnonzero(size[:-1] > 1):
-                close(doc[begin[k] : begin[k] + size[k]])
-            sig, doc = sig[begin[-1] :], doc[begin[-1] :]
-            if len(doc) > SIFTED:
-                close(doc)
-                star, hub = int(sig[0]), int(doc[0])
-                sig, doc = sig[:0], doc[:0]
-            if len(lists) > 100_000 or sum(map(len, pairs)) > 500_000:
+            ends = np.append(begin, len(sig))
+            many = np.diff(ends) > 1
+            many[0] |= int(sig[0]) == long
+            for i in np.flatnonzero(many[:-1]):
+                close(node[ends[i] : ends[i + 1]], int(sig[ends[i]]))
+            sig, node = sig[begin[-1] :], node[begin[-1] :]
+            while len(node) > LIST:
+                if int(sig[0]) != long:
+                    long, least = int(sig[0]), int(node[0])
+                close(node[:LIST], long)
+                sig, node = sig[LIST:], node[LIST:]
+            if size > 500_000:
                 yield out()
-        close(doc)
+        if len(node):
+            close(node, int(sig[0]))
         yield out()
 
-    signed = docs.where("doc_id IS NOT NULL").mapInArrow(emit, "sig long, doc long")
-    return signed.repartition(parts, "sig").sortWithinPartitions("sig", "doc").mapInArrow(grouped, "u long, v long, members array<long>")
-
-
-def sifted(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(u, v): edges that join what may be linked within each group of members, by the sets' sizes and cell counts."""
-
-    def joined(batches):
-        import pyarrow as pa
-
-        bands, held, now = Bands(percent), [], None
-
-        def flush():
-            ids, n = np.array([x for x, _, _ in held]), np.array([x for _, x, _ in held])
-            width = min(len(x) for _, _, x in held)
-            cells = np.stack([np.frombuffer(x, np.uint8).reshape(-1, width).sum(0, dtype=np.int16) for _, _, x in held])
-            a, b = [], []
-            for i in range(1, len(ids)):
-                apart = np.abs(cells[:i] - cells[i]).sum(1, dtype=np.int32)
-                fine = np.flatnonzero((apart <= bands.differ(n[:i], n[i])) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
-                a.append(ids[fine])
-                b.append(np.full(len(fine), ids[i]))
-            return union(np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
-
-        found, size = [], 0
-        for batch in batches:
-            for group, doc, n, cells in zip(*(batch.column(c).to_pylist() for c in ("group", "doc_id", "n", "cells"))):
-                if group != now:
-                    if held:
-                        found.append(flush())
-                        size += len(found[-1][0])
-                    held, now = [], group
-                held.append((doc, n, cells))
-            if size > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], ["u", "v"])
-                found, size = [], 0
-        if held:
-            found.append(flush())
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], ["u", "v"])
-
-    lists = groups.where("members IS NOT NULL").select("members").distinct()
-    rows = lists.select(F.xxhash64("members").alias("group"), F.explode("members").alias("doc_id"))
-    full = rows.join(classes.where("n > 0").select("doc_id", "n", "cells"), "doc_id")
-    return full.repartition(partitions(groups.sparkSession), "group").sortWithinPartitions("group").mapInArrow(joined, "u long, v long")
-
-
-def cells(clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """doc_id, component and items, the blocks that its set is compared in (structs b, i, c, j).
-
-    A cluster of up to 2 * BLOCK documents is one block. Others are cut into cells by size band and, within a band, by a hash into chunks of about BLOCK;
-    a block compares two cells of one band or of neighbouring ones, since other sizes can't be linked.
-    """
-    bands = Bands(percent)
-    starts = F.array(*[F.lit(int(x)) for x in bands.low])
-    sized = clusters.join(classes.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
-    band = F.size(F.filter(starts, lambda x: x <= F.col("n")))
-    sized = sized.select("node", "component", band.alias("band"))
-    whole = sized.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    counted = sized.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("own"))
-    near = Window.partitionBy("component").orderBy("band")
-    beside = lambda f, step: F.when(f("band").over(near) == F.col("band") + step, f("own").over(near)).otherwise(0)
-    counted = counted.withColumns({"before": beside(F.lag, -1), "after": beside(F.lead, 1)}).join(whole, "component")
-    placed = sized.join(counted, ["component", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
-    item = lambda b, i, c, j: F.struct(b.cast("int").alias("b"), i.cast("int").alias("i"), c.cast("int").alias("c"), j.cast("int").alias("j"))
-    every = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda x: x < F.col(n))
-    b, k = F.col("band"), F.col("chunk")
-    items = F.concat(
-        F.transform(every("own"), lambda j: item(b, F.least(k, j), b, F.greatest(k, j))),
-        F.transform(every("before"), lambda j: item(b - 1, j, b, k)),
-        F.transform(every("after"), lambda j: item(b, k, b + 1, j)),
-    )
-    one = F.array(item(*[F.lit(0)] * 4))
-    return placed.select(F.col("node").alias("doc_id"), "component", F.when(F.col("m") <= 2 * BLOCK, one).otherwise(items).alias("items"))
+    signed = docs.where("doc_id IS NOT NULL").mapInArrow(emit, "sig long, node long")
+    return signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(grouped, "sig long, least long, members array<long>")
 
 
-def filtered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in nodes (column node), and few others: by a bitmap of fixed size, made with built-in aggregates."""
+def filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids, and few others: by a bitmap of fixed size, made with built-in aggregates."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
-    marks = nodes.select(place("node").alias("p")).groupBy(F.call_function("bitmap_bucket_number", F.col("p")).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("p"))).alias("bits"))
+    marks = ids.select(place("doc_id").alias("p")).groupBy(F.call_function("bitmap_bucket_number", F.col("p")).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("p"))).alias("bits"))
     whole = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in marks.collect():  # at most FILTER_BITS / 32768 rows of 4 kB
         own = np.frombuffer(bytes(r.bits), np.uint8)
@@ -361,27 +317,39 @@ def filtered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(rows, "doc_id long, text string")
 
 
-def verified_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): stars of truly linked documents, from clusters (node, component) of candidates."""
+def candidate_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n, cells, hashes): size, counts in cells and 48-bit hashes of each node that is a candidate (column node)."""
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for first, h, n in _sets(batch, width):
-                short = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-                offsets = np.append(0, np.cumsum(6 * n)).astype(np.int32)
-                made = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(short)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(n)) for c in ("doc_id", "component", "items")), made], ["doc_id", "component", "items", "hashes"])
+            for _, h, n in _sets(batch, width):
+                stop = np.cumsum(n)
+                own = [h[b - size : b] for b, size in zip(stop.tolist(), n.tolist()) if size]
+                short = [np.ascontiguousarray((x >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(list(map(cell_counts, own)), pa.binary()), pa.array(short, pa.binary())], ["node", "n", "cells", "hashes"])
+
+    one = written(classes.where("doc_id IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
+    made = filtered(docs, one).join(one, "doc_id", "left_semi").select("text").mapInArrow(sets, "node long, n long, cells binary, hashes binary")
+    return written(made.dropDuplicates(["node"]), "sets")
+
 
-    shape = "doc_id long, component long, items array<struct<b:int,i:int,c:int,j:int>>"
-    held = filtered(docs, clusters).join(cells(clusters, classes, percent), "doc_id").select("doc_id", "component", "items", "text").mapInArrow(sets, f"{shape}, hashes binary")
-    items = held.select("component", F.explode("items").alias("item"), "doc_id", "hashes").select("component", "item.*", "doc_id", "hashes")
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): stars of truly linked nodes among the pairs (hub, node), each node compared beside others of its hub.
+
+    A hub with many nodes is repeated in as many blocks as they need, so that no block is large.
+    """
+    spark = pairs.sparkSession
+    some = lambda n: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(n) / BLOCK_SHINGLES)).cast("int")
+    blocks = pairs.join(sets.select("node", "n"), "node").groupBy("hub").agg(some("n").alias("blocks"))
+    items = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node")
+    items = items.unionByName(blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.col("hub").alias("node")))
 
     def joined(batches):
         import pyarrow as pa
 
-        held, item = [], None
+        held, now = [], None
 
         def flush():
             if len(held) > 1:
@@ -391,19 +359,86 @@ def verified_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, wid
                     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in union(ids[i], ids[j])], ["a", "b"])
 
         for batch in batches:
-            for key, doc, raw in zip(zip(*(batch.column(c).to_pylist() for c in keys)), batch.column("doc_id").to_pylist(), batch.column("hashes")):
-                if key != item:
+            for hub, block, node, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "node")), batch.column("hashes")):
+                if (hub, block) != now:
                     if (out := flush()) is not None:
                         yield out
-                    held, item = [], key
+                    held, now = [], (hub, block)
                 h = np.zeros((raw.as_buffer().size // 6, 8), np.uint8)
                 h[:, :6] = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 6)
-                held.append((doc, h.view(np.uint64).ravel()))
+                held.append((node, h.view(np.uint64).ravel()))
         if (out := flush()) is not None:
             yield out
 
-    keys = ["component", "b", "i", "c", "j"]
-    return items.repartition(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(joined, "a long, b long")
+    full = items.join(sets.select("node", "hashes"), "node").select("hub", "block", "node", "hashes")
+    return full.repartition(partitions(spark), "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(joined, "a long, b long")
+
+
+def across(lists: DataFrame, components: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """(hub, node): pairs that share a list (gid, members), are in different components and may be linked by sizes and cell counts.
+
+    closest: of any two components of a list (or of a block of a long one) only the pair with the least difference in cells.
+    A list's largest component is only compared with the rest; long ones are compared in blocks of about LIST and LIST nodes.
+    """
+    rows = lists.select("gid", F.explode("members").alias("node")).join(components, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
+    each = rows.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = each.groupBy("gid").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    parts = lambda n: F.greatest(F.ceil(n / LIST), F.lit(1)).cast("int")
+    main = written(main.select("gid", F.col("main.component").alias("main"), parts(F.col("main.m")).alias("mains"), parts(F.col("all") - F.col("main.m")).alias("others")), "open")
+    item = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    every = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("main"), F.col("mains")).otherwise(F.col("others")))
+    beside = F.concat(
+        F.transform(every(F.col("mains")), lambda j: item(F.col("own"), j)),
+        F.transform(every(F.col("own")), lambda j: item(F.col("own"), F.col("mains") + j)),
+        F.transform(F.filter(every(F.col("others")), lambda x: x > F.col("own")), lambda i: item(i, F.col("mains") + F.col("own"))),
+    )
+    items = F.when(F.col("component") == F.col("main"), F.transform(every(F.col("others")), lambda i: item(i, F.col("own")))).otherwise(beside)
+    placed = rows.join(main, "gid").withColumn("own", own).select("gid", F.explode(items).alias("item"), "node", "component", (F.col("component") == F.col("main")).alias("main"))
+    full = placed.join(sets.select("node", "n", "cells"), "node").select("gid", "item.i", "item.j", "main", "node", "component", "n", "cells")
+
+    def sifted(batches):
+        import pyarrow as pa
+
+        bands, held, now = Bands(percent), [], None
+
+        def flush():
+            held.sort(key=lambda x: not x[0])
+            ids, comp, n = (np.array([x[i] for x in held], np.int64) for i in (1, 2, 3))
+            width = min(len(x[4]) for x in held)
+            cells = np.stack([np.frombuffer(x[4], np.uint8).reshape(-1, width).sum(0, dtype=np.int16) for x in held])
+            a, b, far = [], [], []
+            for i in range(max(1, sum(x[0] for x in held)), len(ids)):
+                may = np.flatnonzero((comp[:i] != comp[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
+                apart = np.abs(cells[may] - cells[i]).sum(1, dtype=np.int64)
+                fine = apart <= bands.differ(n[may], n[i])
+                a.append(np.full(int(fine.sum()), i))
+                b.append(may[fine])
+                far.append(apart[fine])
+            if a:
+                a, b, far = (np.concatenate(x) for x in (a, b, far))
+                if closest and len(a):
+                    low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+                    order = np.lexsort((far, high, low))
+                    low, high = low[order], high[order]
+                    first = order[np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))]
+                    a, b = a[first], b[first]
+                if len(a):
+                    return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["hub", "node"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("gid", "i", "j", "main", "node", "component", "n", "cells")]
+            for gid, i, j, *row in zip(*columns):
+                if (gid, i, j) != now:
+                    if held and (out := flush()) is not None:
+                        yield out
+                    held, now = [], (gid, i, j)
+                held.append(row)
+        if held and (out := flush()) is not None:
+            yield out
+
+    spread = full.repartition(partitions(lists.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+    return spread.mapInArrow(sifted, "hub long, node long").distinct()
 
 
 def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -419,23 +454,30 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes, counts = shingle_classes(docs, width)
     total = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(partitions(spark), ceil(0.65 * total / 2_000_000))
+    parts = max(partitions(spark), ceil(total / 2_000_000))
     found = written(candidates(docs, width, percent, rarity(merged_sketch(counts)), parts), "candidates")
-    edges = found.where("members IS NULL").select("u", "v").unionByName(sifted(found, classes, percent))
-    release(spark)
-    clusters = written(connected_components(edges), "clusters")
-    release(spark)
-    found = written(verified_edges(docs, clusters, classes, width, percent), "links")
-    release(spark)
-    joined = connected_components(found)
-    # classes of equal sets: each is one node, its least document stands for it
-    own = classes.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    least = own.groupBy("key").agg(F.min("doc_id").alias("least"))
-    of = joined.select(F.col("node").alias("doc_id"), "component").join(own, "doc_id").groupBy("key").agg(F.min("component").alias("component"))
-    named = least.join(of, "key", "left")
-    smallest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("smallest"))
-    named = written(named.join(smallest, "component", "left").select("key", F.coalesce("smallest", "least").alias("component_id")), "components")
-    return classes.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    short = found.where("sig IS NULL").select("members").distinct().select(F.xxhash64("members").alias("gid"), F.col("members")[0].alias("least"), "members")
+    lists = written(short.unionByName(found.where("sig IS NOT NULL").select(F.col("sig").alias("gid"), "least", "members")), "lists")
+    hubs = written(lists.select(F.explode("members").alias("node"), "least").groupBy("node").agg(F.min("least").alias("hub")), "hubs")
+    sets = candidate_sets(docs, classes, hubs.select("node"), width)
+    edges = written(linked(hubs.where("node <> hub"), sets, percent), "links")
+    components = connected_components(edges)
+    for closest in (True, False):
+        pairs = written(across(lists, components, sets, percent, closest), "pairs")
+        if pairs.isEmpty():
+            break
+        components = connected_components(components.toDF("a", "b").unionByName(written(linked(pairs, sets, percent), "links")))
+    # a node's least document stands for it; rows that share a doc_id belong together
+    own = classes.where("node IS NOT NULL AND doc_id IS NOT NULL")
+    twice = own.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most")
+    same = written(own.join(twice, "doc_id").select(F.col("node").alias("a"), "b"), "same")
+    if not same.isEmpty():
+        components = connected_components(components.toDF("a", "b").unionByName(same))
+    least = own.groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = least.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(named.join(smallest, "component").select("node", "component_id"), "components")
+    return classes.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:

@@ -11,9 +11,9 @@ rare shingles first (by a sketch of all shingles' counts): passages that many do
 
 Equal sets are one node, named by a 64-bit hash. Nodes with a common signature are a list of candidates. Each node is compared with the least
 node of its lists first, exactly; components of those links settle most lists. In a list that spans several components,
-pairs across them go through exact bounds from sizes and counts in cells of the domain (about half as many as shingles), and what may be linked is
-compared: the closest pair of any two components first, then, where they are still apart, all. No pair within a component and
-none without a common signature is looked at on purpose. Sets are compared as 48-bit hashes: two different shingles of a pair of 1000-word texts agree with a chance of 4e-9.
+pairs across them go through exact bounds from sizes and counts in cells of the domain (about half as many as shingles). What may be linked
+forms clusters, in which the nodes of different components are compared in blocks: a large component's nodes only with the rest, never with one another.
+Sets are compared as 48-bit hashes: two different shingles of a pair of 1000-word texts agree with a chance of 4e-9.
 """
 
 from __future__ import annotations
@@ -335,16 +335,8 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width:
     return written(made.dropDuplicates(["node"]), "sets")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): stars of truly linked nodes among the pairs (hub, node), each node compared beside others of its hub.
-
-    A hub with many nodes is repeated in as many blocks as they need, so that no block is large.
-    """
-    spark = pairs.sparkSession
-    some = lambda n: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(n) / BLOCK_SHINGLES)).cast("int")
-    blocks = pairs.join(sets.select("node", "n"), "node").groupBy("hub").agg(some("n").alias("blocks"))
-    items = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node")
-    items = items.unionByName(blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.col("hub").alias("node")))
+def _compared(full: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(a, b): stars of the linked nodes within each block (columns keys) of full (node, hashes)."""
 
     def joined(batches):
         import pyarrow as pa
@@ -359,43 +351,62 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in union(ids[i], ids[j])], ["a", "b"])
 
         for batch in batches:
-            for hub, block, node, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "node")), batch.column("hashes")):
-                if (hub, block) != now:
+            for key, node, raw in zip(zip(*(batch.column(c).to_pylist() for c in keys)), batch.column("node").to_pylist(), batch.column("hashes")):
+                if key != now:
                     if (out := flush()) is not None:
                         yield out
-                    held, now = [], (hub, block)
+                    held, now = [], key
                 h = np.zeros((raw.as_buffer().size // 6, 8), np.uint8)
                 h[:, :6] = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 6)
                 held.append((node, h.view(np.uint64).ravel()))
         if (out := flush()) is not None:
             yield out
 
-    full = items.join(sets.select("node", "hashes"), "node").select("hub", "block", "node", "hashes")
-    return full.repartition(partitions(spark), "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(joined, "a long, b long")
+    spread = full.select(*keys, "node", "hashes").repartition(partitions(full.sparkSession), *keys)
+    return spread.sortWithinPartitions(*keys).mapInArrow(joined, "a long, b long")
+
+
+def beside_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): stars of linked nodes, each compared with its hub and others of that hub. pairs: hub, node.
+
+    A hub with many nodes is repeated in as many blocks as they need, so that no block is large.
+    """
+    some = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = pairs.join(sets.select("node", "n"), "node").groupBy("hub").agg(some.alias("blocks"))
+    items = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node")
+    items = items.unionByName(blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.col("hub").alias("node")))
+    return _compared(items.join(sets.select("node", "hashes"), "node"), ["hub", "block"], percent)
 
 
-def across(lists: DataFrame, components: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """(hub, node): pairs that share a list (gid, members), are in different components and may be linked by sizes and cell counts.
+def placed(rows: DataFrame, most: int) -> DataFrame:
+    """(gid, i, j, main, node, component): blocks in which the nodes of each group (gid, node, component, n) meet all those of other components.
 
-    closest: of any two components of a list (or of a block of a long one) only the pair with the least difference in cells.
-    A list's largest component is only compared with the rest; long ones are compared in blocks of about LIST and LIST nodes.
+    Groups of one component are left out. The largest component's nodes only meet the rest; either is cut into parts of about `most`
+    nodes and BLOCK_SHINGLES shingles, and each part of the rest meets each of the largest component and each of the rest.
     """
-    rows = lists.select("gid", F.explode("members").alias("node")).join(components, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
-    each = rows.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("m"))
-    main = each.groupBy("gid").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    parts = lambda n: F.greatest(F.ceil(n / LIST), F.lit(1)).cast("int")
-    main = written(main.select("gid", F.col("main.component").alias("main"), parts(F.col("main.m")).alias("mains"), parts(F.col("all") - F.col("main.m")).alias("others")), "open")
+    each = rows.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    main = each.groupBy("gid").agg(F.max(F.struct("m", "component", "w")).alias("main"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    parts = lambda m, w: F.greatest(F.ceil(m / most), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    rest = parts(F.col("m") - F.col("main.m"), F.col("w") - F.col("main.w"))
+    main = written(main.select("gid", F.col("main.component").alias("main"), parts(F.col("main.m"), F.col("main.w")).alias("mains"), rest.alias("others")), "open")
     item = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     every = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("main"), F.col("mains")).otherwise(F.col("others")))
+    first = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(first, F.col("mains")).otherwise(F.col("others"))).cast("int")
     beside = F.concat(
         F.transform(every(F.col("mains")), lambda j: item(F.col("own"), j)),
         F.transform(every(F.col("own")), lambda j: item(F.col("own"), F.col("mains") + j)),
         F.transform(F.filter(every(F.col("others")), lambda x: x > F.col("own")), lambda i: item(i, F.col("mains") + F.col("own"))),
     )
-    items = F.when(F.col("component") == F.col("main"), F.transform(every(F.col("others")), lambda i: item(i, F.col("own")))).otherwise(beside)
-    placed = rows.join(main, "gid").withColumn("own", own).select("gid", F.explode(items).alias("item"), "node", "component", (F.col("component") == F.col("main")).alias("main"))
-    full = placed.join(sets.select("node", "n", "cells"), "node").select("gid", "item.i", "item.j", "main", "node", "component", "n", "cells")
+    items = F.when(first, F.transform(every(F.col("others")), lambda i: item(i, F.col("own")))).otherwise(beside)
+    met = rows.join(main, "gid").withColumn("own", own)
+    return met.select("gid", F.explode(items).alias("item"), "node", "component", first.alias("main")).select("gid", "item.i", "item.j", "main", "node", "component")
+
+
+def across(lists: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): edges that join the nodes that share a list (gid, members), are in different components and may be linked by sizes and cell counts."""
+    rows = lists.select("gid", F.explode("members").alias("node")).join(components, "node", "left")
+    full = placed(rows.select("gid", "node", F.coalesce("component", "node").alias("component"), F.lit(0).alias("n")), LIST).join(sets.select("node", "n", "cells"), "node")
 
     def sifted(batches):
         import pyarrow as pa
@@ -407,38 +418,34 @@ def across(lists: DataFrame, components: DataFrame, sets: DataFrame, percent: in
             ids, comp, n = (np.array([x[i] for x in held], np.int64) for i in (1, 2, 3))
             width = min(len(x[4]) for x in held)
             cells = np.stack([np.frombuffer(x[4], np.uint8).reshape(-1, width).sum(0, dtype=np.int16) for x in held])
-            a, b, far = [], [], []
+            a, b = [], []
             for i in range(max(1, sum(x[0] for x in held)), len(ids)):
                 may = np.flatnonzero((comp[:i] != comp[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
-                apart = np.abs(cells[may] - cells[i]).sum(1, dtype=np.int64)
-                fine = apart <= bands.differ(n[may], n[i])
-                a.append(np.full(int(fine.sum()), i))
-                b.append(may[fine])
-                far.append(apart[fine])
-            if a:
-                a, b, far = (np.concatenate(x) for x in (a, b, far))
-                if closest and len(a):
-                    low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-                    order = np.lexsort((far, high, low))
-                    low, high = low[order], high[order]
-                    first = order[np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))]
-                    a, b = a[first], b[first]
-                if len(a):
-                    return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["hub", "node"])
+                fine = may[np.abs(cells[may] - cells[i]).sum(1, dtype=np.int32) <= bands.differ(n[may], n[i])]
+                a.append(np.full(len(fine), i))
+                b.append(fine)
+            if a and len(i := np.concatenate(a)):
+                return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in union(ids[i], ids[np.concatenate(b)])], ["u", "v"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("gid", "i", "j", "main", "node", "component", "n", "cells")]
             for gid, i, j, *row in zip(*columns):
                 if (gid, i, j) != now:
-                    if held and (out := flush()) is not None:
+                    if len(held) > 1 and (out := flush()) is not None:
                         yield out
                     held, now = [], (gid, i, j)
                 held.append(row)
-        if held and (out := flush()) is not None:
+        if len(held) > 1 and (out := flush()) is not None:
             yield out
 
-    spread = full.repartition(partitions(lists.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    return spread.mapInArrow(sifted, "hub long, node long").distinct()
+    spread = full.select("gid", "i", "j", "main", "node", "component", "n", "cells").repartition(partitions(lists.sparkSession), "gid", "i", "j")
+    return spread.sortWithinPartitions("gid", "i", "j").mapInArrow(sifted, "u long, v long")
+
+
+def within_clusters(clusters: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): stars of linked nodes, each compared with those of its cluster (node, cluster) that are in other components."""
+    rows = clusters.join(components, "node", "left").join(sets.select("node", "n"), "node").select(F.col("cluster").alias("gid"), "node", F.coalesce("component", "node").alias("component"), "n")
+    return _compared(placed(written(rows, "clusters"), BLOCK // 2).join(sets.select("node", "hashes"), "node"), ["gid", "i", "j"], percent)
 
 
 def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -460,13 +467,10 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     lists = written(short.unionByName(found.where("sig IS NOT NULL").select(F.col("sig").alias("gid"), "least", "members")), "lists")
     hubs = written(lists.select(F.explode("members").alias("node"), "least").groupBy("node").agg(F.min("least").alias("hub")), "hubs")
     sets = candidate_sets(docs, classes, hubs.select("node"), width)
-    edges = written(linked(hubs.where("node <> hub"), sets, percent), "links")
-    components = connected_components(edges)
-    for closest in (True, False):
-        pairs = written(across(lists, components, sets, percent, closest), "pairs")
-        if pairs.isEmpty():
-            break
-        components = connected_components(components.toDF("a", "b").unionByName(written(linked(pairs, sets, percent), "links")))
+    components = connected_components(written(beside_hubs(hubs.where("node <> hub"), sets, percent), "links"))
+    may = connected_components(across(lists, components, sets, percent)).withColumnRenamed("component", "cluster")
+    more = written(within_clusters(may, components, sets, percent), "links")
+    components = connected_components(components.toDF("a", "b").unionByName(more))
     # a node's least document stands for it; rows that share a doc_id belong together
     own = classes.where("node IS NOT NULL AND doc_id IS NOT NULL")
     twice = own.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most")
@@ -474,8 +478,8 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     if not same.isEmpty():
         components = connected_components(components.toDF("a", "b").unionByName(same))
     least = own.groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = least.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(least.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "named")
+    smallest = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     named = written(named.join(smallest, "component").select("node", "component_id"), "components")
     return classes.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -35,10 +35,35 @@ ENCODINGS = [
 ]
 
 SPAN = "array<struct<start:int,end:int>>"
+PLACED = "array<struct<start:int,kind:int,end:int>>"
 #: Levels that a stratum may take, strictest evidence of randomness last.
 LEVELS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.2)
 
 
+#: A fold that appends copies its array at each step; folds go over runs of so many items, and then over the runs.
+RUN = 256
+#: Code points in a window of a text that is cut at many places.
+WINDOW = 4096
+
+
+def _scan(items: Column, state: Column, kind: str, step) -> Column:
+    """What step(state, item) = (next state, array of results) gives for all items in order, in one array of type `kind`."""
+    none = F.expr(f"cast(array() as {kind})")
+
+    def inside(acc, x):
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def run(acc, i):
+        begin = F.struct(acc["last"]["state"].alias("state"), none.alias("out"))
+        return F.struct(F.aggregate(F.slice(items, i * RUN + 1, RUN), begin, inside).alias("last"), F.concat(acc["all"], F.array(acc["last"]["out"])).alias("all"))
+
+    first = F.struct(F.struct(state.alias("state"), none.alias("out")).alias("last"), F.expr(f"cast(array() as array<{kind}>)").alias("all"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int"))
+    whole = F.aggregate(runs, first, run, lambda acc: F.flatten(F.concat(acc["all"], F.array(acc["last"]["out"]))))
+    return F.when(F.size(items) > 0, whole).otherwise(none)
+
+
 def _found(text: Column, pattern: str, group: int | None, more, kind: str) -> Column:
     """Matches as structs with start and end in code points; more(match, group's text) gives the condition and further fields."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -48,16 +73,16 @@ def _found(text: Column, pattern: str, group: int | None, more, kind: str) -> Co
     else:
         named = F.arrays_zip(matches.alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
         steps = F.zip_with(pieces, named, lambda p, x: F.struct(F.length(p).alias("gap"), x["m"].alias("m"), x["g"].alias("g")))
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
+    none = F.expr(f"cast(array() as {kind})")
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
+    def step(at, x):
+        start = at + x["gap"]
+        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         keep, fields = more(x["m"], x["g"])
-        own = F.array(F.struct(start.alias("start"), end.alias("end"), *fields))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out")))
+        return end, F.when(x["m"].isNotNull() & keep, F.array(F.struct(start.alias("start"), end.alias("end"), *fields))).otherwise(none)
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, begin, step)["out"]).otherwise(F.expr(f"cast(array() as {kind})"))
+    # the steps are made once, as the element of an array of one
+    return F.when(text.rlike(pattern), F.flatten(F.transform(F.array(steps), lambda s: _scan(s, F.lit(0), kind, step)))).otherwise(none)
 
 
 def _erfc(x: Column) -> Column:
@@ -175,8 +200,15 @@ def with_spans(scans: DataFrame, levels: dict[tuple[int, int], float]) -> DataFr
         return based.withColumn("spans", F.array_sort("spans"))
     limit = F.create_map(*[F.lit(v) for (e, b), a in sorted(levels.items()) for v in (e * 64 + b, a)])
     passed = lambda x: F.when(x["enc"].isNotNull() & (x["n"] > 0), x["p"] > F.element_at(limit, x["enc"] * 64 + F.floor(F.log2(F.greatest(x["n"], F.lit(1)))).cast("int"))).otherwise(False)
-    random = F.filter("scan.candidates", lambda x: passed(x) & ~F.exists("spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return based.withColumn("spans", F.array_sort(F.concat("spans", F.transform(random, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"))))))
+    random = F.transform(F.filter("scan.candidates", passed), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    merged = based.withColumn("_random", random).withColumn("_all", F.array_sort(F.concat("spans", "_random")))
+    # forwards by the furthest end of a base span so far, backwards by the nearest start of one
+    fits = lambda x, free: F.when((x["kind"] < 3) | free, F.array(x)).otherwise(F.expr(f"cast(array() as {PLACED})"))
+    base = lambda x, yes, no: F.when(x["kind"] < 3, yes).otherwise(no)
+    after = _scan(F.col("_all"), F.lit(-1), PLACED, lambda end, x: (base(x, F.greatest(end, x["end"]), end), fits(x, end <= x["start"])))
+    merged = merged.withColumn("_back", F.when(F.size("_random") > 0, F.reverse(after)))
+    before = _scan(F.col("_back"), F.lit(2**31 - 1), PLACED, lambda start, x: (base(x, x["start"], start), fits(x, start >= x["end"])))
+    return merged.withColumn("spans", F.when(F.size("_random") > 0, F.reverse(before)).otherwise(F.col("_all"))).drop("_random", "_all", "_back")
 
 
 def said(items: Column) -> Column:
@@ -206,14 +238,20 @@ def redact(docs: DataFrame, mark: str = "<secret>", rate: float = 0.05) -> DataF
     levels = thresholds(scanned(docs.select("text")), rate)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     found = with_spans(scanned(whole, "row"), levels)
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc, x):
-        after = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("row.text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).alias("out"))
-        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(after)
-
-    def end(acc):
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("row.text"), acc["at"] + 1, F.length("row.text")))
-
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", begin, step, end)).otherwise(F.col("row.text"))
+    # a substring is found by walking from its text's start, so it is cut from the windows that it lies in
+    windows = F.transform(F.sequence(F.lit(0), F.floor(F.length("row.text") / WINDOW).cast("int")), lambda i: F.substring(F.col("row.text"), i * WINDOW + 1, F.lit(WINDOW)))
+    found = found.withColumn("_windows", F.when(F.size("spans") > 0, windows))
+
+    def cut(start, end):
+        first = F.floor(start / WINDOW).cast("int")
+        own = F.array_join(F.slice("_windows", first + 1, F.floor(end / WINDOW).cast("int") - first + 1), "")
+        return F.substring(own, start - first * WINDOW + 1, end - start)
+
+    def step(at, x):
+        kept = F.when(x["start"] >= at, F.array(cut(at, x["start"]), F.lit(mark))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.greatest(at, x["end"]), kept
+
+    last = F.array_max(F.transform("spans", lambda x: x["end"]))
+    whole = F.concat(F.array_join(_scan(F.col("spans"), F.lit(0), "array<string>", step), ""), cut(last, F.length("row.text")))
+    text = F.when(F.size("spans") > 0, whole).otherwise(F.col("row.text"))
     return found.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

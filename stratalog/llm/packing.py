@@ -28,23 +28,54 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(sizes, giver: list[int], taker: list[int], room: int):
-    """The exchange that fills `taker` most: (gain, items that leave giver, items that leave taker), or None.
+class Bin:
+    """A bin as sizes and their number: what may leave it, alone or in pairs, is looked up by size, however many items share one."""
+
+    def __init__(self, sizes: list[int]):
+        self.count: dict[int, int] = {}
+        for s in sizes:
+            self.count[s] = self.count.get(s, 0) + 1
+        self.fill = sum(sizes)
+        self.made = None
+
+    def change(self, gone: tuple[int, ...], come: tuple[int, ...]) -> None:
+        for s in gone:
+            self.count[s] -= 1
+            if not self.count[s]:
+                del self.count[s]
+        for s in come:
+            self.count[s] = self.count.get(s, 0) + 1
+        self.fill += sum(come) - sum(gone)
+        self.made = None
+
+    def sums(self) -> tuple[list[int], dict[int, tuple[int, int]], list[int]]:
+        """(sizes in order; two sizes for each sum that two items make; 0, sizes and sums in order)."""
+        if self.made is None:
+            ones = sorted(self.count)
+            twos = {x + y: (x, y) for i, x in enumerate(ones) for y in ones[: i + 1] if x != y or self.count[x] > 1}
+            self.made = ones, twos, sorted({0, *ones, *twos})
+        return self.made
+
+
+def _exchange(giver: Bin, taker: Bin, room: int):
+    """The exchange that fills `taker` most: (gain, sizes that leave giver, sizes that leave taker), or None.
     Moves one item, or exchanges one for one, two for one, one for two."""
-    best = None
-    ones = [((), 0)] + [((x,), sizes[x]) for x in taker]
-    twos = [((x, y), sizes[x] + sizes[y]) for i, x in enumerate(taker) for y in taker[:i]]
-    for i, g in enumerate(giver):
-        for out, s in ones + twos:
-            gain = sizes[g] - s
-            if 0 < gain <= room and (best is None or gain > best[0]):
-                best = (gain, (g,), out)
-        for h in giver[:i]:
-            for out, s in ones[1:]:
-                gain = sizes[g] + sizes[h] - s
-                if 0 < gain <= room and (best is None or gain > best[0]):
-                    best = (gain, (g, h), out)
-    return best
+    ones, twos, _ = giver.sums()
+    own, own_twos, outs = taker.sums()
+    best, most = None, 0
+    for give, back in ((ones, outs), (twos, own)):
+        for g in give:
+            k = bisect_left(back, g - room)
+            if k < len(back) and most < g - back[k]:
+                best, most = (g, back[k], give is twos), g - back[k]
+                if most == room:
+                    break
+        if most == room:
+            break
+    if best is None:
+        return None
+    g, s, two = best
+    return most, twos[g] if two else (g,), () if not s else (s,) if s in taker.count else own_twos[s]
 
 
 def local_search(sizes: list[int], bins: list[list[int]], cap: int) -> list[list[int]]:
@@ -53,34 +84,35 @@ def local_search(sizes: list[int], bins: list[list[int]], cap: int) -> list[list
     Each exchange makes a bin at least as full as the giver fuller, so the sum rises and the search ends; it
     stops at the lower bound ceil(total / cap), or when no bin can be emptied.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    least = -(-sum(fill) // cap)
-    live = sorted((b for b in range(len(bins)) if bins[b]), key=lambda b: fill[b])
+    held = [Bin([sizes[i] for i in b]) for b in bins]
+    least = -(-sum(b.fill for b in held) // cap)
+    live = sorted((b for b in held if b.count), key=lambda b: b.fill)
     stuck: set[int] = set()
     while len(live) > least:
-        giver = next((b for b in live if b not in stuck and fill[b] < cap), None)
+        giver = next((b for b in live if id(b) not in stuck and b.fill < cap), None)
         if giver is None:
             break
-        others = [b for b in live if b != giver and fill[b] < cap]
+        others = [b for b in live if b is not giver and b.fill < cap]
         moved = True
-        while bins[giver] and moved:
+        while giver.count and moved:
             moved = False
-            for taker in sorted(others, key=lambda b: -fill[b]):
-                if fill[taker] >= cap or fill[taker] < fill[giver] or not bins[giver]:
+            for taker in sorted(others, key=lambda b: -b.fill):
+                if taker.fill >= cap or taker.fill < giver.fill or not giver.count:
                     continue
-                if found := _exchange(sizes, bins[giver], bins[taker], cap - fill[taker]):
-                    gain, gone, come = found
-                    bins[giver] = [i for i in bins[giver] if i not in gone] + list(come)
-                    bins[taker] = [i for i in bins[taker] if i not in come] + list(gone)
-                    fill[giver] -= gain
-                    fill[taker] += gain
+                if found := _exchange(giver, taker, cap - taker.fill):
+                    _, gone, come = found
+                    giver.change(gone, come)
+                    taker.change(come, gone)
                     moved = True
-        if bins[giver]:
-            stuck.add(giver)
+        if giver.count:
+            stuck.add(id(giver))
         else:
             stuck.clear()
-        live = sorted((b for b in live if bins[b]), key=lambda b: fill[b])
-    return [b for b in bins if b]
+        live = sorted((b for b in live if b.count), key=lambda b: b.fill)
+    items: dict[int, list[int]] = {}
+    for i in reversed(range(len(sizes))):
+        items.setdefault(sizes[i], []).append(i)
+    return [[items[s].pop() for s, n in b.count.items() for _ in range(n)] for b in live]
 
 
 def pack(sizes: list[int], cap: int) -> list[list[int]]:
@@ -110,6 +142,7 @@ def token_pieces(docs: DataFrame, cap: int, vocabulary: str | None = None, end:
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), length.tolist())]
                 own = batch.column("doc_id").slice(first, len(texts)).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
 

@@ -16,9 +16,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def coin(doc_id: Column, seed: int) -> Column:
-    """Uniform in [0, 1), from the first 52 bits of an MD5 of seed and id."""
-    said = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def coin(doc_id: Column, seed: int, other: Column) -> Column:
+    """Uniform in [0, 1), from the first 52 bits of an MD5 of seed and id, or of `other` where there is no id."""
+    said = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), other.cast("string")), F.lit("")))
     return F.conv(F.substring(F.md5(said.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -48,7 +48,7 @@ def plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2
     """The rows of docs (doc_id, source and `size`, its words) with source_size, target, rate and copies.
 
     copies is floor(rate) plus one with probability the fraction, by a coin that depends on seed and doc_id alone, so reruns agree.
-    A null source is a source, last in order; a null doc_id tosses as the empty string; repeated rows toss alike;
+    A null source is a source, last in order; rows without doc_id toss by `_toss` (a column of docs; else by size); repeated rows toss alike;
     a source of no words has target and rate 0; empty tables give none. Other columns stay, save those named here.
     """
     rates = written(source_rates(docs.select("source", "size"), weights, share, most), "rates")
@@ -57,12 +57,12 @@ def plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2
         rates = F.broadcast(rates)
     joined = docs.drop("source_size", "target", "rate", "copies").join(rates, F.col("source").eqNullSafe(F.col("_mix_source")), "inner")
     rate = F.col("_mix_rate")
-    copies = (F.floor(rate) + F.when(coin(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    copies = (F.floor(rate) + F.when(coin(F.col("doc_id"), seed, F.col("_toss" if "_toss" in docs.columns else "size")) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
     return joined.withColumns({"source_size": F.col("_mix_source_size"), "target": F.col("_mix_target"), "copies": copies, "rate": rate}).drop("_mix_source", "_mix_source_size", "_mix_target", "_mix_rate")
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The documents themselves, each as often as its plan says; columns as they came."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_toss"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     taken = plan(sized, **parameters).where(F.col("copies") > 0)
     return taken.select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")

@@ -97,7 +97,7 @@ g AS (SELECT *, (total - before) / rest AS water FROM f),
 h AS (SELECT *, (SELECT water FROM g WHERE water <= level ORDER BY level, source ASC NULLS LAST LIMIT 1) AS found FROM g),
 r AS (SELECT source, source_size, CASE WHEN found IS NULL THEN cap ELSE least(cap, weight * found) END AS target FROM h),
 d AS (SELECT sized.doc_id, sized.size, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0.0 END AS rate,
-  ('0x' || substr(md5('17:' || coalesce(sized.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin
+  ('0x' || substr(md5('17:' || coalesce(sized.doc_id::VARCHAR, 'null:' || sized.size)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin
   FROM sized JOIN r ON sized.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM d""",
     "op8_url_rules": r"""

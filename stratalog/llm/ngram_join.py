@@ -23,7 +23,7 @@ from math import ceil
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions, ship, written
+from .common import partitions, ship, trim, written
 from .components import connected_components, union
 from .shingles import mix, pieces, shingles
 
@@ -196,6 +196,7 @@ def shingle_classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
                 sketch += np.bincount((h[np.repeat(new, n)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 empty = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(n)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *empty], names)
+        trim()
         if sketch.any():
             k = len(sketch) // SKETCH_BLOCK
             none = pa.nulls(k, pa.int64())
@@ -242,6 +243,7 @@ def candidates(docs: DataFrame, width: int, percent: int, rare: np.ndarray, part
                     own, sig = signatures(h[np.repeat(new, n)], n[new], bands, table.value)
                     named = np.array([x for x, y in zip(nodes, new.tolist()) if y], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(named[own])], ["sig", "node"])
+        trim()
 
     def grouped(batches):
         import pyarrow as pa
@@ -468,7 +470,7 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     hubs = written(lists.select(F.explode("members").alias("node"), "least").groupBy("node").agg(F.min("least").alias("hub")), "hubs")
     sets = candidate_sets(docs, classes, hubs.select("node"), width)
     components = connected_components(written(beside_hubs(hubs.where("node <> hub"), sets, percent), "links"))
-    may = connected_components(across(lists, components, sets, percent)).withColumnRenamed("component", "cluster")
+    may = connected_components(written(across(lists, components, sets, percent), "may")).withColumnRenamed("component", "cluster")
     more = written(within_clusters(may, components, sets, percent), "links")
     components = connected_components(components.toDF("a", "b").unionByName(more))
     # a node's least document stands for it; rows that share a doc_id belong together

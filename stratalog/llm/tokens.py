@@ -13,6 +13,8 @@ import os
 
 import numpy as np
 
+from .common import trim
+
 DEFAULT = "word_bpe_49k.json"
 #: Letters whose lower case is one character and that composition leaves alone; punctuation without the apostrophe.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -55,7 +57,7 @@ class Known:
 
 
 class Encoder:
-    """Encodes columns of texts; one for each file and process. It keeps up to `keep` words and pieces (about 100 bytes each)."""
+    """Encodes columns of texts; one for each file and process. It keeps up to `keep` words and pieces (about 100 bytes each) until its task ends."""
 
     _made: dict[str, "Encoder"] = {}
 
@@ -75,7 +77,13 @@ class Encoder:
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         self.ends[[i for word, i in self.whole.get_vocab(False).items() if word.endswith("</w>")]] = True
-        self.words, self.parts = Known(keep), Known(keep)
+        self.keep = keep
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words that it knows, so that a worker between tasks holds none of them."""
+        self.words, self.parts = Known(self.keep), Known(self.keep)
+        trim()
 
     def _new_words(self, distinct):
         """(ids of the distinct words, one word's after another; their number per word)."""
@@ -185,13 +193,3 @@ def merged(rows, most: int = 8_000_000):
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def trim() -> None:
-    """Gives freed memory back to the system, where the C library can."""
-    import ctypes
-
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass

@@ -187,6 +187,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end:
                     held, tokens = ([(doc[k:], ok[k:], n[k:], ids[at:])], len(ids) - at) if k < len(n) else ([], 0)
         if held:
             yield flush()
+        encoder.forget()
 
     # as many ranges as the scan has splits: about a split's text for each task
     ranges = max(1, docs.rdd.getNumPartitions())

@@ -447,7 +447,7 @@ def across(lists: DataFrame, components: DataFrame, sets: DataFrame, percent: in
 def within_clusters(clusters: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): stars of linked nodes, each compared with those of its cluster (node, cluster) that are in other components."""
     rows = clusters.join(components, "node", "left").join(sets.select("node", "n"), "node").select(F.col("cluster").alias("gid"), "node", F.coalesce("component", "node").alias("component"), "n")
-    return _compared(placed(written(rows, "clusters"), BLOCK // 2).join(sets.select("node", "hashes"), "node"), ["gid", "i", "j"], percent)
+    return _compared(placed(written(rows, "clusters"), BLOCK).join(sets.select("node", "hashes"), "node"), ["gid", "i", "j"], percent)
 
 
 def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:

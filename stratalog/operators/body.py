@@ -128,12 +128,14 @@ class Bodies:
         seeds = frame.select(*[f"v_{k}" for k in keys]).distinct() if keys else None
         goal = self.body(x.goal, types, variables(x.of), None, seeds, keep=True)
         value, kind = compile_expression(x.of, types, col)
-        out = aggregate(x.op, value, kind or "int")
+        by = [col(k).alias(f"k_{i}") for i, k in enumerate(keys)]
+        if kind == "float" and x.op in ("sum", "avg"):
+            found = float_totals(goal.select(*by, value.alias("x_")), [f"k_{i}" for i in range(len(keys))], x.op)
+        else:
+            found = goal.groupBy(*by).agg(aggregate(x.op, value, kind or "int").alias("f_"))
         if not keys:
-            found = goal.agg(out.alias("f_"))
             joined = frame.crossJoin(found)
         else:
-            found = goal.groupBy(*[col(k).alias(f"k_{i}") for i, k in enumerate(keys)]).agg(out.alias("f_"))
             joined = frame.join(found, [col(k).eqNullSafe(F.col(f"k_{i}")) for i, k in enumerate(keys)], "left").drop(*[f"k_{i}" for i in range(len(keys))])
         result = F.coalesce("f_", F.lit(0).cast("bigint")) if x.op == "count" else F.col("f_")
         kept = self.assign(joined.withColumn("f_", result), x.out, F.col("f_"))
@@ -149,8 +151,7 @@ def variables_in(x) -> set[str]:
 
 
 def aggregate(op: str, value: Column, kind: str) -> Column:
-    """One aggregate over a goal's rows. Sums are exact and independent of order: integers in decimals, floats in decimals of 18
-    places as long as all are below 1e17 in size (else Spark's own double sum)."""
+    """One aggregate over a goal's rows; sums and averages of floats are float_totals'. Sums of integers are exact, in decimals."""
     if op == "count":
         return F.count(F.lit(1))
     if op in ("min", "max"):
@@ -163,8 +164,52 @@ def aggregate(op: str, value: Column, kind: str) -> Column:
         if kind == "duration":
             return F.call_function("div", total, F.count(value).cast("decimal(38,0)")).cast("bigint")
         return total.cast("double") / F.count(value)
-    fine = F.abs(value) < 1e17
-    exact = F.sum(F.when(fine, value).cast("decimal(38,18)")).cast("double")
-    total = F.when(F.coalesce(F.bool_and(fine), F.lit(True)), exact).otherwise(F.sum(value))
+
+
+#: Floats are summed in windows of so many binary places; in a window a value is an integer below 2 ** (WINDOW + 57).
+WINDOW, HALF = 16, 40
+
+
+def shifted(x: Column, places: Column) -> Column:
+    """x * 2 ** places, in two steps, as either factor alone may be out of range."""
+    first = F.floor(places / 2)
+    return x * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), places - first)
+
+
+def float_totals(rows: DataFrame, keys: list[str], op: str) -> DataFrame:
+    """keys and f_: sum or average of the floats x_ in each group; null where none is present.
+
+    Each value is an integer in units of its window of exponents. Integers are summed exactly in decimals, group by group and window by window, in any
+    order; a group's few windows (128 at most) are then added from the largest down with a compensation, so the result is the exact sum but
+    for its last place, whatever the magnitudes. A sum out of range is infinite, and one of opposite infinities an error.
+    """
+    finite = F.abs("x_") < float("inf")
+    window = F.when(finite & (F.col("x_") != 0), F.floor(F.log2(F.abs("x_")) / WINDOW)).otherwise(0)
+    placed = rows.withColumn("w_", window.cast("int")).withColumn("v_", F.when(finite, shifted(F.col("x_"), F.lit(56) - F.col("w_") * WINDOW)))
+    high = F.floor(F.col("v_") / float(1 << HALF))
+    parts = [("h_", high), ("l_", (F.col("v_") - high * float(1 << HALF)).cast("bigint"))]
+    sums = [F.sum(c.cast("decimal(38,0)")).alias(n) for n, c in parts]
+    each = placed.groupBy(*keys, "w_").agg(*sums, F.count("x_").alias("n_"), F.sum(F.when(~finite, F.col("x_"))).alias("odd_"))
+    whole = each.groupBy(*keys).agg(F.collect_list(F.when(F.col("h_").isNotNull(), F.struct("w_", "h_", "l_"))).alias("p_"), F.sum("n_").alias("n_"), F.sum("odd_").alias("odd_"))
+
+    def doubles(p):
+        # h and l may be long; each gives two doubles that hold it exactly
+        unit = F.lit(str(1 << HALF)).cast("decimal(38,0)")
+        out = []
+        for name, base in (("h_", HALF), ("l_", 0)):
+            upper = F.call_function("div", p[name], unit)
+            out += [(upper.cast("bigint").cast("double"), base + HALF), ((p[name] - upper.cast("decimal(20,0)") * unit).cast("bigint").cast("double"), base)]
+        return F.array(*[shifted(c, p["w_"] * WINDOW + F.lit(place - 56)) for c, place in out])
+
+    terms = F.array_sort(F.flatten(F.transform("p_", doubles)), lambda a, b: F.signum(F.abs(b) - F.abs(a)).cast("int"))
+
+    def add(acc, x):
+        t = acc["s"] + x
+        lost = F.when(F.abs(acc["s"]) >= F.abs(x), (acc["s"] - t) + x).otherwise((x - t) + acc["s"])
+        return F.struct(t.alias("s"), (acc["c"] + lost).alias("c"))
+
+    nothing = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+    exact = F.aggregate(terms, nothing, add, lambda acc: F.when(F.abs(acc["s"]) < float("inf"), acc["s"] + acc["c"]).otherwise(acc["s"]))
+    total = F.when(F.col("n_") > 0, F.coalesce("odd_", exact))
     total = F.when(F.isnan(total), wrong("arithmetic-error", "the sum is no number", "double")).otherwise(total)
-    return total if op == "sum" else total / F.count(value)
+    return whole.select(*keys, (total if op == "sum" else total / F.col("n_")).alias("f_"))

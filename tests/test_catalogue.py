@@ -22,10 +22,8 @@ def rows(columns, found):
     return sorted(tuple("NULL" if r[i] is None else repr(float(r[i])) if isinstance(r[i], float) else str(r[i]) for i in order) for r in found)
 
 
-SLOW = ("dominators", "reaching_definitions", "liveness", "same_generation", "mutual_recursion", "access_closure", "most_specific", "value_creating_path")
 
-
-@pytest.mark.parametrize("name", [n for n in catalogue.ITEMS if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalogue.ITEMS))
 def test_query(spark, db, name):
     got = entry.queries()[name](spark, SF)
     want = db.sql(entry.oracle_sql()[name])

@@ -9,10 +9,10 @@ One difference spoils two subsets of a partition, two spoil all three. So of the
 any common order has few others before it, and each set needs to emit no more than that bound and one. The order puts subsets with
 rare shingles first (by a sketch of all shingles' counts): passages that many documents share and empty subsets go first, and no link is lost.
 
-Equal sets are one node, named by a 64-bit hash. Nodes with a common signature are a list of candidates. Each node is compared with the least
-node of its lists first, exactly; components of those links settle most lists. In a list that spans several components,
-pairs across them go through exact bounds from sizes and counts in cells of the domain (about half as many as shingles). What may be linked
-forms clusters, in which the nodes of different components are compared in blocks: a large component's nodes only with the rest, never with one another.
+Equal sets are one node, named by a 64-bit hash. Nodes with a common signature are a list of candidates; their pairs go through exact bounds from
+sizes and counts in cells of the domain (about half as many as shingles). What may be linked forms clusters. Each of their nodes is compared with a
+hub of its list first, exactly; then, in blocks, the nodes of a cluster that those links leave in different components: a large component's
+nodes only meet the rest, never one another.
 Sets are compared as 48-bit hashes: two different shingles of a pair of 1000-word texts agree with a chance of 4e-9.
 """
 
@@ -183,27 +183,28 @@ class Fresh:
 
 
 def shingle_classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, node), (block, counts)): set sizes and the sets' names, null for empty ones; and the sketch's counts per task."""
+    """((doc_id, n, node, cells), (block, counts)): set sizes, the sets' names and counts in cells, null for empty ones; and the sketch's counts per task."""
 
     def rows(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "n", "node", "block", "counts"]
+        names = ["doc_id", "n", "node", "cells", "block", "counts"]
         sketch, fresh = np.zeros(1 << SKETCH_BITS, np.int64), Fresh()
         for batch in batches:
             for first, h, n in _sets(batch, width):
                 nodes, new = fresh.of(h, n)
                 sketch += np.bincount((h[np.repeat(new, n)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 empty = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(n)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *empty], names)
+                cells = [cell_counts(h[b - size : b]) if size else None for b, size in zip(np.cumsum(n).tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(n)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.binary()), *empty], names)
         trim()
         if sketch.any():
             k = len(sketch) // SKETCH_BLOCK
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(k), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sketch.reshape(k, -1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sketch.reshape(k, -1)], pa.binary())], names)
 
-    both = written(docs.mapInArrow(rows, "doc_id long, n long, node long, block int, counts binary"), "classes")
-    return both.where("block IS NULL").select("doc_id", "n", "node"), both.where("block IS NOT NULL").select("block", "counts")
+    both = written(docs.mapInArrow(rows, "doc_id long, n long, node long, cells binary, block int, counts binary"), "classes")
+    return both.where("block IS NULL").select("doc_id", "n", "node", "cells"), both.where("block IS NOT NULL").select("block", "counts")
 
 
 def merged_sketch(counts: DataFrame) -> np.ndarray:
@@ -319,8 +320,8 @@ def filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(rows, "doc_id long, text string")
 
 
-def candidate_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, cells, hashes): size, counts in cells and 48-bit hashes of each node that is a candidate (column node)."""
+def named_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(node, n, hashes): names, sizes and 48-bit hashes of the sets of the documents in ids (doc_id)."""
 
     def sets(batches):
         import pyarrow as pa
@@ -330,11 +331,11 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width:
                 stop = np.cumsum(n)
                 own = [h[b - size : b] for b, size in zip(stop.tolist(), n.tolist()) if size]
                 short = [np.ascontiguousarray((x >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for x in own]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(list(map(cell_counts, own)), pa.binary()), pa.array(short, pa.binary())], ["node", "n", "cells", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(short, pa.binary())], ["node", "n", "hashes"])
+        trim()
 
-    one = written(classes.where("doc_id IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
-    made = filtered(docs, one).join(one, "doc_id", "left_semi").select("text").mapInArrow(sets, "node long, n long, cells binary, hashes binary")
-    return written(made.dropDuplicates(["node"]), "sets")
+    made = filtered(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return written(made.select("text").mapInArrow(sets, "node long, n long, hashes binary"), "sets")
 
 
 def _compared(full: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -405,10 +406,10 @@ def placed(rows: DataFrame, most: int) -> DataFrame:
     return met.select("gid", F.explode(items).alias("item"), "node", "component", first.alias("main")).select("gid", "item.i", "item.j", "main", "node", "component")
 
 
-def across(lists: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): edges that join the nodes that share a list (gid, members), are in different components and may be linked by sizes and cell counts."""
-    rows = lists.select("gid", F.explode("members").alias("node")).join(components, "node", "left")
-    full = placed(rows.select("gid", "node", F.coalesce("component", "node").alias("component"), F.lit(0).alias("n")), LIST).join(sets.select("node", "n", "cells"), "node")
+def plausible(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(u, v): edges that join the nodes that share a list (gid, members) and may be linked, by sizes and cell counts (known: node, n, cells)."""
+    rows = lists.select("gid", F.explode("members").alias("node"))
+    full = placed(rows.select("gid", "node", F.col("node").alias("component"), F.lit(0).alias("n")), LIST).join(known.select("node", "n", "cells"), "node")
 
     def sifted(batches):
         import pyarrow as pa
@@ -467,11 +468,15 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     found = written(candidates(docs, width, percent, rarity(merged_sketch(counts)), parts), "candidates")
     short = found.where("sig IS NULL").select("members").distinct().select(F.xxhash64("members").alias("gid"), F.col("members")[0].alias("least"), "members")
     lists = written(short.unionByName(found.where("sig IS NOT NULL").select(F.col("sig").alias("gid"), "least", "members")), "lists")
-    hubs = written(lists.select(F.explode("members").alias("node"), "least").groupBy("node").agg(F.min("least").alias("hub")), "hubs")
-    sets = candidate_sets(docs, classes, hubs.select("node"), width)
-    components = connected_components(written(beside_hubs(hubs.where("node <> hub"), sets, percent), "links"))
-    may = connected_components(written(across(lists, components, sets, percent), "may")).withColumnRenamed("component", "cluster")
-    more = written(within_clusters(may, components, sets, percent), "links")
+    known = classes.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.min("doc_id").alias("doc_id"))
+    known = written(known.join(lists.select(F.explode("members").alias("node")).distinct(), "node", "left_semi"), "known")
+    may = written(plausible(lists, known, percent), "may")
+    clusters = connected_components(may).withColumnRenamed("component", "cluster")
+    ids = written(known.join(clusters, "node", "left_semi").select("doc_id").distinct(), "ids")
+    sets = named_sets(docs, ids, width)
+    hubs = may.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("hub"))
+    components = connected_components(written(beside_hubs(hubs, sets, percent), "links"))
+    more = written(within_clusters(clusters, components, sets, percent), "links")
     components = connected_components(components.toDF("a", "b").unionByName(more))
     # a node's least document stands for it; rows that share a doc_id belong together
     own = classes.where("node IS NOT NULL AND doc_id IS NOT NULL")

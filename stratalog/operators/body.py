@@ -109,7 +109,7 @@ class Bodies:
                 tests.append((a.name, i))
         if not tests:
             return frame.join(table.select(F.lit(True).alias("n_")).limit(1), how="left_anti", on=F.lit(True))
-        right = table.select(*[F.col(f"c{i}").alias(f"n_{i}") for _, i in tests]).distinct()
+        right = table.select(*[F.col(f"c{i}").alias(f"n_{i}") for _, i in tests])
         on = [col(v).eqNullSafe(F.col(f"n_{i}")) for v, i in tests]
         return frame.join(right, on, "left_anti")
 

@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
         have = sc._jsc.sc().getCheckpointDir()
         root = have.get() if have.isDefined() else None
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         root = Path(tempfile.mkdtemp(prefix="stratalog-")).as_uri()
         sc.setCheckpointDir(root)
     return root if ":" in root else Path(root).absolute().as_uri()

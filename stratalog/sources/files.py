@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import urllib.parse
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.scalars import DATE, FLOAT, INT, STAMP, convert
+from ..functions.scalars import DATE, FLOAT, INT, STAMP, convert, wrong
 from ..functions.values import SPARK
 from ..plans.errors import fail
 
@@ -45,8 +46,8 @@ def load(spark: SparkSession, path: str, base: str = ".", declared: tuple | None
     full = located(spark, path, base, at)
     try:
         return {"csv": _csv, "json": _json, "parquet": _parquet}[kind](spark, full, path, declared, at)
-    except AnalysisException as e:
-        raise fail("unreadable-source", f"{path}: {str(e).splitlines()[0]}", at) from e
+    except (PySparkException, Py4JJavaError) as e:
+        raise fail("unreadable-source", f"{path}: {next(iter(str(e).splitlines()), '')}", at) from e
 
 
 def _csv(spark, full, path, declared, at):
@@ -122,17 +123,22 @@ def _parquet(spark, full, path, declared, at):
     return _typed(spark.read.parquet(full), path, declared, at)
 
 
-def native(frame: DataFrame, path: str = "a table", at=None) -> tuple[list[Column], list[str], list[str]]:
-    """(columns, names, types) of a DataFrame in the language's types."""
+def native(frame: DataFrame, path: str = "a table", at=None, wide: bool = False) -> tuple[list[Column], list[str], list[str]]:
+    """(columns, names, types) of a DataFrame in the language's types. wide: integers may come as decimals without places (unsigned
+    64-bit ones of Parquet, long ones of JSON); one that doesn't fit 64 bits is an error, not a float."""
     columns, names, types = [], [], []
     for f in frame.schema.fields:
         c, k = F.col(f"`{f.name}`"), f.dataType
         if isinstance(k, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             c, own = c.cast("bigint"), "int"
+        elif wide and isinstance(k, T.DecimalType) and k.scale == 0 and k.precision >= 19:
+            low, high = (F.lit(str(v)).cast("decimal(38,0)") for v in (-(2**63), 2**63 - 1))
+            big = wrong("unreadable-source", f"{path}: column {f.name} has an integer beyond 64 bits", "bigint")
+            c, own = F.when(c.isNull(), None).when(c.between(low, high), c.cast("bigint")).otherwise(big), "int"
         elif isinstance(k, (T.FloatType, T.DoubleType, T.DecimalType)):
             c, own = c.cast("double") + F.lit(0.0), "float"
             if not isinstance(k, T.DecimalType):
-                c = F.when(~F.isnan(c), c)
+                c = F.when(F.isnan(c), wrong("unreadable-source", f"{path}: column {f.name} has a value that is no number", "double")).otherwise(c) if wide else F.when(~F.isnan(c), c)
         elif isinstance(k, T.BooleanType):
             own = "bool"
         elif isinstance(k, T.DateType):
@@ -154,7 +160,7 @@ def native(frame: DataFrame, path: str = "a table", at=None) -> tuple[list[Colum
 
 
 def _typed(frame: DataFrame, path: str, declared, at):
-    columns, names, types = native(frame, path, at)
+    columns, names, types = native(frame, path, at, True)
     if declared is not None:
         if {f for f, _ in declared} != set(names):
             raise fail("source-schema-mismatch", f"{path} has the columns {', '.join(names)}", at)

@@ -46,3 +46,19 @@ def test_parquet_and_unions(spark, tmp_path):
 def test_unneeded_imports_are_not_read(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("k\nnot a number\n")
     assert run(spark, tmp_path, 'import "bad.csv" as b(k: int). p(1). ?- p(X).') == ["p(1)."]
+
+
+def test_integers_beyond_64_bits_and_values_that_are_no_numbers(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"a": pa.array([1, 2**63 - 1], pa.uint64())}), tmp_path / "u.parquet")
+    assert run(spark, tmp_path, 'import "u.parquet" as u. ?- u(A).') == ["u(1).", f"u({2**63 - 1})."]
+    pq.write_table(pa.table({"a": pa.array([1, 2**64 - 1], pa.uint64())}), tmp_path / "v.parquet")
+    pq.write_table(pa.table({"a": [1.5, float("nan")]}), tmp_path / "w.parquet")
+    (tmp_path / "j.jsonl").write_text('{"a": 1}\n{"a": 100000000000000000000}\n')
+    (tmp_path / "r.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
+    for file in ("v.parquet", "w.parquet", "j.jsonl", "r.csv"):
+        with pytest.raises(ProgramError) as e:
+            run(spark, tmp_path, f'import "{file}" as t. ?- t(a: A).')
+        assert e.value.codes == ["unreadable-source"], file

@@ -86,7 +86,8 @@ ITEMS: dict[str, Item] = {
     # aggregates
     "count_group_empty": Item("customer orders", "made(C, N) :- customer(c_custkey: C), N = count { O | orders(o_orderkey: O, o_custkey: C) }.", "made(C, N)", "SELECT c_custkey AS c, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "sum_group": Item("orders lineitem", "total(K, Q) :- orders(o_orderkey: K), Q = sum { V | lineitem(l_orderkey: K, l_quantity: V, l_linenumber: _) }.", "total(K, Q)", "SELECT o_orderkey AS k, sum(q) AS q FROM orders LEFT JOIN (SELECT DISTINCT * REPLACE (l_quantity AS l_quantity), l_quantity AS q FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1"),
-    "sum_float": Item("lineitem", "", "lineitem(l_suppkey: S), D = sum { V | lineitem(l_suppkey: S, l_orderkey: _, l_linenumber: _, l_discount: V), V < 0.5 }, A = avg { V | lineitem(l_suppkey: S, l_orderkey: _, l_linenumber: _, l_discount: V) }", "SELECT l_suppkey AS s, fsum(l_discount) FILTER (l_discount < 0.5) AS d, favg(l_discount) AS a FROM (SELECT DISTINCT * FROM lineitem) GROUP BY 1"),
+    # DuckDB has no exact sum of floats, so this one has no SQL; a test holds it against math.fsum
+    "sum_float": Item("lineitem", "", "lineitem(l_suppkey: S), D = sum { V | lineitem(l_suppkey: S, l_orderkey: _, l_linenumber: _, l_discount: V), V < 0.5 }, A = avg { V | lineitem(l_suppkey: S, l_orderkey: _, l_linenumber: _, l_discount: V) }", ""),
     "avg_min_max": Item("part", "", 'part(p_brand: B), A = avg { S | part(p_brand: B, p_size: S) }, L = min { P | part(p_brand: B, p_retailprice: P) }, H = max { N | part(p_brand: B, p_name: N) }', "SELECT p_brand AS b, avg(p_size) AS a, min(p_retailprice) AS l, max(p_name) AS h FROM part GROUP BY 1"),
     "global_aggregate": Item("lineitem", "", "N = count { K | lineitem(l_orderkey: K) }, Q = sum { V | lineitem(l_quantity: V) }, Z = count { W | lineitem(l_linenumber: W), W > 100 }", "SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS n, (SELECT sum(l_quantity) FROM (SELECT DISTINCT * FROM lineitem)) AS q, 0::BIGINT AS z"),
     "nested_aggregate": Item("orders", "", "M = max { N | orders(o_custkey: C), N = count { K | orders(o_orderkey: K, o_custkey: C) } }", "SELECT max(n) AS m FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)"),
@@ -127,4 +128,4 @@ ITEMS: dict[str, Item] = {
 }
 
 QUERIES = {name: item.run for name, item in ITEMS.items()}
-ORACLE_SQL = {name: item.sql for name, item in ITEMS.items()}
+ORACLE_SQL = {name: item.sql for name, item in ITEMS.items() if item.sql}

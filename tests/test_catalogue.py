@@ -23,7 +23,7 @@ def rows(columns, found):
 
 
 
-@pytest.mark.parametrize("name", list(catalogue.ITEMS))
+@pytest.mark.parametrize("name", list(catalogue.ORACLE_SQL))
 def test_query(spark, db, name):
     got = entry.queries()[name](spark, SF)
     want = db.sql(entry.oracle_sql()[name])

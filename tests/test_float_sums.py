@@ -42,3 +42,16 @@ def test_no_rows_and_opposite_infinities(spark):
     assert [r["S"] for r in engine.query("S = sum { V | t(v: V) }").collect()] == [None]
     with pytest.raises(Exception, match="no number"):
         total(spark, {1: [float("inf"), float("-inf")]})
+
+
+def test_registered_query(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    groups = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").distinct().collect():
+        groups.setdefault(r.l_suppkey, []).append(r.l_discount)
+    got = {r.s: (r.d, r.a) for r in entry.queries()["sum_float"](spark, sf).collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        assert got[k] == pytest.approx((math.fsum(v), math.fsum(v) / len(v)), rel=4e-16, abs=0)

@@ -36,6 +36,8 @@ LIST = 2048
 FILTER_BITS = 1 << 22
 #: Classes of equal sets that a task remembers at once.
 SEEN = 100_000
+#: Signatures that a task gathers before it sends them, packed, to their partitions.
+PACK = 2_000_000
 
 
 class Bands:
@@ -226,26 +228,86 @@ def merged_sketch(counts: DataFrame) -> np.ndarray:
     return out
 
 
+def packed(sig: np.ndarray, own: np.ndarray, names: np.ndarray, parts: int):
+    """(partition, bytes) of signatures and whose they are (names[own]): a partition takes a range of the signatures' hashes.
+
+    A block has its sets' names once, and its signatures in order as gaps, byte by byte of all of them, which compress to little more than
+    the gaps' own bits.
+    """
+    import pyarrow as pa
+
+    part = (((sig >> 16) & 0xFFFFFFFF) * parts) >> 32
+    order = np.lexsort((sig, part))
+    sig, own, part = sig[order], own[order], part[order]
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(begin, np.append(begin[1:], len(part))):
+        mine, at = np.unique(own[a:b], return_inverse=True)
+        planes = [np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8).T) for x in (np.diff(sig[a:b], prepend=0), at.astype(np.int32))]
+        raw = b"".join([np.array([b - a, len(mine)], np.int64).tobytes(), names[mine].tobytes(), *(x.tobytes() for x in planes)])
+        yield int(part[a]), np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, names of their sets) of a block."""
+    import pyarrow as pa
+
+    raw = pa.decompress(body[8:], int(np.frombuffer(body[:8], np.int64)[0]), "zstd", asbytes=True)
+    count, n = np.frombuffer(raw, np.int64, 2)
+    names = np.frombuffer(raw, np.int64, n, 16)
+    planes = np.frombuffer(raw, np.uint8, offset=16 + 8 * n)
+    gaps, at = (np.ascontiguousarray(x.reshape(-1, count).T) for x in (planes[: 8 * count], planes[8 * count :]))
+    return np.cumsum(gaps.view(np.int64).ravel()), names[at.view(np.int32).ravel()]
+
+
 def candidates(docs: DataFrame, width: int, percent: int, rare: np.ndarray, parts: int) -> DataFrame:
     """(sig, least, members): nodes that share a signature, in order, and the least of them; sig is null but for the parts of lists over LIST.
 
-    Lists stream in order of signature, so none has to fit in memory. Equal lists of a task are one row.
+    Signatures go to their partitions in packed blocks, and are rows again before they are sorted: lists stream in order of signature, so
+    none has to fit in memory. Equal lists of a task are one row.
     """
     table = docs.sparkSession.sparkContext.broadcast(rare)
 
     def emit(batches):
         import pyarrow as pa
 
-        bands, fresh = Bands(percent), Fresh()
+        bands, fresh, held, size = Bands(percent), Fresh(), [], 0
+
+        def out():
+            nonlocal held, size
+            first = np.cumsum([0, *(len(x[2]) for x in held)])
+            sig, names = (np.concatenate([x[i] for x in held]) for i in (0, 2))
+            own = np.concatenate([x[1] + a for x, a in zip(held, first)])
+            held, size = [], 0
+            rows, weight = [], 0
+            for row in packed(sig, own, names, parts):
+                rows.append(row)
+                weight += len(row[1])
+                if weight > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["part", "body"])
+                    rows, weight = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["part", "body"])
+
         for batch in batches:
             for _, h, n in _sets(batch, width):
                 nodes, new = fresh.of(h, n)
                 if new.any():
                     own, sig = signatures(h[np.repeat(new, n)], n[new], bands, table.value)
-                    named = np.array([x for x, y in zip(nodes, new.tolist()) if y], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(named[own])], ["sig", "node"])
+                    held.append((sig, own, np.array([x for x, y in zip(nodes, new.tolist()) if y], np.int64)))
+                    size += len(sig)
+                    if size > PACK:
+                        yield from out()
+        if size:
+            yield from out()
         trim()
 
+    def opened(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for body in batch.column("body"):
+                sig, node = unpacked(body.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
+
     def grouped(batches):
         import pyarrow as pa
 
@@ -296,8 +358,9 @@ def candidates(docs: DataFrame, width: int, percent: int, rare: np.ndarray, part
             close(node, int(sig[0]))
         yield out()
 
-    signed = docs.where("doc_id IS NOT NULL").mapInArrow(emit, "sig long, node long")
-    return signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(grouped, "sig long, least long, members array<long>")
+    blocks = docs.where("doc_id IS NOT NULL").mapInArrow(emit, "part int, body binary").repartitionById(parts, "part")
+    signed = blocks.mapInArrow(opened, "sig long, node long")
+    return signed.sortWithinPartitions("sig", "node").mapInArrow(grouped, "sig long, least long, members array<long>")
 
 
 def filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -41,6 +41,25 @@ def test_signatures_of_linked_sets_meet():
         assert set(sig[own == 0].tolist()) & set(sig[own == 1].tolist())
 
 
+def test_packed_signatures_come_back():
+    """Each signature with its set, in the partition of its hash's range; equal ones and the largest too."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    names = rng.integers(-(2**63), 2**63, 50)
+    for n, parts in ((0, 3), (1, 1), (3000, 7), (3000, 5000)):
+        sig, own = rng.integers(0, 2**52, n), rng.integers(0, 50, n)
+        sig[: n // 3] = sig[:1].sum() if n else 0
+        sig[n // 2 : n // 2 + 1] = 2**52 - 1
+        got = []
+        for part, body in ngram_join.packed(sig, own, names, parts):
+            assert 0 <= part < parts
+            back, node = ngram_join.unpacked(body)
+            assert ((((back >> 16) & 0xFFFFFFFF) * parts) >> 32 == part).all() and (np.diff(back) >= 0).all()
+            got += zip(back.tolist(), node.tolist())
+        assert sorted(got) == sorted(zip(sig.tolist(), names[own].tolist()))
+
+
 def test_text_with_very_many_secrets(spark):
     text = " ".join(f"é token=abcdefgh{i % 7} {i:032x} x" for i in range(3000))
     docs = documents(spark, [(1, text, "s")])

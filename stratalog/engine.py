@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -18,6 +19,11 @@ from .plans.errors import DataError, Diagnostic, ProgramError, fail
 from .plans.syntax import Clause, Const, Goal, Import, Parser, Query, Var, parse
 from .sources import files
 
+#: Bytes of a table on disk up to which it may be broadcast.
+BROADCAST = 1 << 20
+#: Bytes of shuffled rows that a task takes at most, where Spark joins small partitions; hash tables are about 20 times that.
+PARTITION = 16 << 20
+
 
 @dataclass
 class Answers:
@@ -41,6 +47,12 @@ def raised(error: Exception) -> Exception:
     return error
 
 
+def at_most(setting: str, most: int) -> int:
+    """A size in the session's settings, in bytes, or the bound if it is larger."""
+    m = re.fullmatch(r"(-?[0-9]+)\s*([kmgtp]?)b?", setting.strip().lower())
+    return min(most, int(m[1]) * 1024 ** " kmgtp".index(m[2] or " ")) if m else most
+
+
 class Engine:
     """Collects program text and DataFrames; each question is planned over all of it.
 
@@ -52,6 +64,9 @@ class Engine:
         self.spark, self.base, self.max_rounds = spark, base, max_rounds
         spark.conf.set("spark.sql.ansi.enabled", "true")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # a broadcast table passes through the driver, in every round of a recursion again
+        for name, most in (("spark.sql.autoBroadcastJoinThreshold", BROADCAST), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", PARTITION)):
+            spark.conf.set(name, str(at_most(spark.conf.get(name), most)))
         self.statements: list = []
         self.frames: dict[str, tuple[list[str], list[str], DataFrame]] = {}
         self.std_time = False

@@ -25,9 +25,9 @@ def col(name: str) -> Column:
 class Bodies:
     """Compiles literals over the relations' DataFrames (columns c0, c1, …)."""
 
-    def __init__(self, spark: SparkSession, relations: dict[str, Relation], table: Callable[[str], DataFrame], defined: Callable[[str], Rule | None] = lambda n: None):
-        """defined(name): the one rule that is all there is to a relation."""
-        self.spark, self.relations, self.table, self.defined = spark, relations, table, defined
+    def __init__(self, spark: SparkSession, relations: dict[str, Relation], table: Callable[[str], DataFrame], defined: Callable[[str], Rule | None] = lambda n: None, rows: Callable[[str], DataFrame] | None = None):
+        """defined(name): the one rule that is all there is to a relation; rows(name): its rows, where repeated ones don't matter."""
+        self.spark, self.relations, self.table, self.defined, self.rows = spark, relations, table, defined, rows or table
         self.skipped: list = []  # what aggregates skip, for the report: (rule number, fold, frame of counts)
 
     def one(self) -> DataFrame:
@@ -59,7 +59,8 @@ class Bodies:
 
     def literal(self, x, frame, types, table=None, later: set[str] | None = None) -> DataFrame:
         if isinstance(x, Positive):
-            return self.positive(x, frame, table if table is not None else self.table(x.atom.name), later)
+            read = self.table if later is None else self.rows
+            return self.positive(x, frame, table if table is not None else read(x.atom.name), later)
         frame = frame if frame is not None else self.one()
         if isinstance(x, Negative):
             return self.negative(x, frame)
@@ -110,7 +111,7 @@ class Bodies:
         return frame.join(own, [f"v_{v}" for v in shared])
 
     def negative(self, x: Negative, frame: DataFrame) -> DataFrame:
-        table, have, tests = self.table(x.atom.name), self.bound(frame), []
+        table, have, tests = self.rows(x.atom.name), self.bound(frame), []
         for i, a in enumerate(x.atom.args):
             if isinstance(a, Const):
                 table = table.where(F.col(f"c{i}").eqNullSafe(literal(a.value)))

@@ -27,7 +27,7 @@ class Model:
         self.tables: dict[str, DataFrame] = {}
         self.rounds: dict[str, DataFrame] = {}
         self.keep_rounds = keep_rounds
-        self.bodies = Bodies(spark, program.relations, self.table, self.defined)
+        self.bodies = Bodies(spark, program.relations, self.table, self.defined, self.unsifted)
         needed = live(program)
         uses: dict[str, int] = {}
         for r in program.rules:
@@ -67,6 +67,16 @@ class Model:
             return rules[0]
         return None
 
+    def unsifted(self, name: str) -> DataFrame:
+        """A relation's rows; imported ones as they are, since what is made of them becomes a set anyway."""
+        given = self.given.get(name)
+        if not given or self.program.relations[name].facts or self.program.rules_of(name):
+            return self.table(name)
+        frame = given[0]
+        for f in given[1:]:
+            frame = frame.union(f)
+        return frame
+
     def base(self, name: str) -> DataFrame:
         """Facts and imported rows, as a set."""
         r = self.program.relations[name]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,9 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     out = spark.table(f"stratalog_{key}").select(*df.columns)
     spark.sql(f"DROP TABLE stratalog_{key}")
     return out
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """A written table without its buckets: joins shuffle it, so that Spark can split what is uneven."""
+    files = df.inputFiles()
+    return df.sparkSession.read.schema(df.schema).parquet(unquote(files[0].rsplit("/", 1)[0])) if files else df
